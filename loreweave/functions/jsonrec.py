@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from loreweave.functions.text import let
+from pyspark.sql import types as T
 
 FENCE = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_balanced_object(raw: pd.Series) -> pd.Series:
     """First brace-balanced span outside strings; only rows the JVM could not settle get here."""
 
@@ -39,38 +38,30 @@ def _first_balanced_object(raw: pd.Series) -> pd.Series:
     return raw.map(scan)
 
 
-def _is_json(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull()
-
-
-def _object_or_null(c: Column) -> Column:
-    """JSON text when it parses to an object, else null."""
-    return F.when(_is_json(c) & c.rlike(r"^\s*\{"), c)
-
-
-def recover_json(raw: Column) -> Column:
-    """JSON object text of a model reply, or null.
+def recover_json(df: DataFrame, raw: str, out: str = "obj") -> DataFrame:
+    """Add the JSON object of a model reply as a variant column, or null.
 
     Order: the whole reply; if that is not JSON at all, the fenced object; with no fence, the first
     balanced object. A reply that is valid JSON but not an object is null, as is a broken fenced object.
+    Only replies that neither parse nor carry a fence are shipped to Python.
     """
-    fenced = F.nullif(F.regexp_extract(raw, FENCE, 1), F.lit(""))
-    residual = F.when(~_is_json(raw) & ~raw.rlike(FENCE), raw)
-    return (
-        F.when(_is_json(raw), _object_or_null(raw))
-        .when(raw.rlike(FENCE), _object_or_null(fenced))
-        .otherwise(_object_or_null(_first_balanced_object(residual)))
-    )
-
-
-def json_items(obj: Column, field: str) -> Column:
-    """Elements of a list field as JSON texts, one bad element never spoiling the rest."""
-    raw = F.get_json_object(obj, f"$.{field}")
-    return F.when(raw.rlike(r"^\s*\["), F.from_json(raw, "array<string>"))
-
-
-def json_text(obj: Column, field: str) -> Column:
-    """A string field, null when it is missing or not a JSON string."""
-    v = F.try_variant_get(F.try_parse_json(obj), f"$.{field}", "string")
-    kind = F.schema_of_variant(F.variant_get(F.try_parse_json(obj), f"$.{field}", "variant"))
-    return let(F.struct(v.alias("v"), kind.alias("k")), lambda x: F.when(x["k"] == "STRING", x["v"]))
+    reply = F.col(raw)
+    fenced = reply.rlike(FENCE)
+    staged = df.withColumn("_whole", F.try_parse_json(reply))
+    broken = F.col("_whole").isNull()
+    staged = staged.withColumn("_rest", _first_balanced_object(F.when(broken & ~fenced, reply)))
+    span = F.when(broken, F.when(fenced, F.regexp_extract(reply, FENCE, 1)).otherwise(F.col("_rest")))
+    staged = staged.withColumn("_any", F.coalesce(F.col("_whole"), F.try_parse_json(span)))
+    kept = F.when(F.startswith(F.schema_of_variant("_any"), F.lit("OBJECT")), F.col("_any"))
+    return staged.withColumn(out, kept).drop("_whole", "_rest", "_any")
+
+
+def text_field(obj: Column, name: str) -> Column:
+    """A string field of a variant object, null when it is missing or of another type."""
+    v = F.try_variant_get(obj, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(obj, f"$.{name}", "string"))
+
+
+def list_field(obj: Column, name: str) -> Column:
+    """A list field as ``array<variant>``, null when it is not a list; one bad element spoils nothing."""
+    return F.try_variant_get(obj, f"$.{name}", "array<variant>")

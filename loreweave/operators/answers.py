@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.functions.jsonrec import recover_json
+from loreweave.functions.jsonrec import list_field, text_field
 from loreweave.functions.text import clip, clip_trimmed, let, strip
 from loreweave.operators.ranking import join_text
 
@@ -32,14 +32,9 @@ def route(use_rag: Column, intent: Column) -> Column:
     )
 
 
-def _string_field(obj: Column, name: str) -> Column:
-    """String field of a variant object, null for any other type."""
-    v = F.try_variant_get(obj, f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(obj, f"$.{name}", "string"))
-
-
-def parse_intent(raw: Column) -> Column:
-    said = _string_field(F.try_parse_json(recover_json(raw)), "intent")
+def parse_intent(obj: Column) -> Column:
+    """Intent of a recovered reply object (see :func:`jsonrec.recover_json`), ``chat`` when unusable."""
+    said = text_field(obj, "intent")
     return F.when(said.isin(*INTENTS), said).otherwise("chat")
 
 
@@ -134,9 +129,9 @@ def message_list(system: Column, history: Column, message: Column) -> Column:
     return F.concat(F.array(entry("system", system)), past, F.array(entry("user", message)))
 
 
-def parse_claims(raw: Column) -> Column:
-    """Labelled claims of a verifier reply: ``array<struct<pos, text, support, evidence>>``."""
-    items = F.try_variant_get(F.try_parse_json(recover_json(raw)), "$.claims", "array<variant>")
+def parse_claims(obj: Column) -> Column:
+    """Labelled claims of a recovered verifier reply: ``array<struct<pos, text, support, evidence>>``."""
+    items = list_field(obj, "claims")
 
     def field(item: Column, name: str) -> Column:
         # Falsy values (null, "", 0, false) read as blank; other scalars as their text.
@@ -229,7 +224,7 @@ def verifier_context(answers: DataFrame, chunks: DataFrame, facts: DataFrame, we
 
 def _short_list(obj: Column, name: str, chars: int) -> Column:
     """Trimmed non-blank strings of a list field: cap the count first, then drop case-insensitive repeats."""
-    items = F.try_variant_get(obj, f"$.{name}", "array<variant>")
+    items = list_field(obj, name)
     texts = F.transform(
         F.filter(items, lambda i: F.schema_of_variant(i) == "STRING"),
         lambda i: strip(F.try_variant_get(i, "$", "string")),
@@ -243,17 +238,13 @@ def _short_list(obj: Column, name: str, chars: int) -> Column:
     return F.coalesce(let(capped, first_only), F.array().cast("array<string>"))
 
 
-def parse_summary(raw: Column) -> Column:
-    """``struct<tldr, key_points, topics>`` of a summary reply; unusable parts are empty."""
-
-    def build(obj: Column) -> Column:
-        tldr = clip_trimmed(strip(F.coalesce(_string_field(obj, "tldr"), F.lit(""))), TLDR_CHARS)
-        return F.struct(
-            tldr.alias("tldr"), _short_list(obj, "key_points", POINT_CHARS).alias("key_points"),
-            _short_list(obj, "topics", TOPIC_CHARS).alias("topics"),
-        )
-
-    return build(F.try_parse_json(recover_json(raw)))
+def parse_summary(obj: Column) -> Column:
+    """``struct<tldr, key_points, topics>`` of a recovered summary reply; unusable parts are empty."""
+    tldr = clip_trimmed(strip(F.coalesce(text_field(obj, "tldr"), F.lit(""))), TLDR_CHARS)
+    return F.struct(
+        tldr.alias("tldr"), _short_list(obj, "key_points", POINT_CHARS).alias("key_points"),
+        _short_list(obj, "topics", TOPIC_CHARS).alias("topics"),
+    )
 
 
 def summary_input(text: Column) -> Column:

@@ -142,12 +142,11 @@ def summary_transcript(messages: DataFrame) -> DataFrame:
 
 def parse_chat_summary(replies: DataFrame) -> DataFrame:
     """``chat_id, raw`` → ``chat_id, new_title, new_summary`` (blank when unusable)."""
-    obj = F.try_parse_json(recover_json(F.col("raw")))
 
     def text(name: str):
-        return F.coalesce(F.try_variant_get(obj, f"$.{name}", "string"), F.lit(""))
+        return F.coalesce(F.try_variant_get("_o", f"$.{name}", "string"), F.lit(""))
 
-    return replies.select("chat_id", clamp(text("title"), TITLE_CHARS).alias("new_title"), clamp(text("summary"), SUMMARY_CHARS).alias("new_summary"))
+    return recover_json(replies, "raw", "_o").select("chat_id", clamp(text("title"), TITLE_CHARS).alias("new_title"), clamp(text("summary"), SUMMARY_CHARS).alias("new_summary"))
 
 
 def refresh_summaries(chats: DataFrame, parsed: DataFrame) -> DataFrame:

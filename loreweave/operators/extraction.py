@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.functions.jsonrec import recover_json
+from loreweave.functions.jsonrec import list_field, recover_json
 from loreweave.functions.text import let, strip
 from loreweave.operators.ranking import join_text, top_k
 
@@ -43,11 +43,6 @@ def _within(c: Column, low: int, high: int) -> Column:
     return F.coalesce(F.length(c).between(low, high), F.lit(False))
 
 
-def _items(raw: Column, field: str) -> Column:
-    """List field of the recovered object as ``array<variant>``, null when it is not a list."""
-    return F.try_variant_get(F.try_parse_json(recover_json(raw)), f"$.{field}", "array<variant>")
-
-
 def _is_object(item: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), F.lit(False))
 
@@ -84,17 +79,17 @@ def _relation(item: Column, pos: Column) -> Column:
     return let(fields, check)
 
 
-def parse_entities(raw: Column) -> Column:
+def parse_entities(obj: Column) -> Column:
     """``array<struct<pos, name, type, description>>``: valid items only, in reply order."""
-    made = F.transform(_items(raw, "entities"), _entity)
+    made = F.transform(list_field(obj, "entities"), _entity)
     return F.coalesce(F.filter(made, lambda e: e.isNotNull()), F.array().cast(f"array<{ENTITY}>"))
 
 
-def parse_relations(raw: Column, entities: Column) -> Column:
+def parse_relations(obj: Column, entities: Column) -> Column:
     """Valid relations whose both endpoints are names of the chunk's own ``entities``."""
 
     def member(names: Column) -> Column:
-        made = F.transform(_items(raw, "relationships"), _relation)
+        made = F.transform(list_field(obj, "relationships"), _relation)
         return F.filter(
             made,
             lambda r: r.isNotNull()
@@ -114,14 +109,14 @@ def chunk_results(replies: DataFrame) -> DataFrame:
     """
     none = F.array().cast(f"array<{RELATION}>")
     failed = F.coalesce("pass1_failed", F.lit(False))
-    first = replies.withColumn(
+    first = recover_json(replies, "pass1_raw", "_one").withColumn(
         "entities",
-        F.when(failed, F.array().cast(f"array<{ENTITY}>")).otherwise(parse_entities(F.col("pass1_raw"))),
+        F.when(failed, F.array().cast(f"array<{ENTITY}>")).otherwise(parse_entities(F.col("_one"))),
     )
     use_second = (F.size("entities") > 0) & ~F.coalesce("pass2_failed", F.lit(False)) & F.col("pass2_raw").isNotNull()
-    second = first.withColumn(
+    second = recover_json(first, "pass2_raw", "_two").withColumn(
         "relationships",
-        F.when(use_second, parse_relations(F.col("pass2_raw"), F.col("entities"))).otherwise(none),
+        F.when(use_second, parse_relations(F.col("_two"), F.col("entities"))).otherwise(none),
     )
     return second.select(*DOC, "chunk_index", "entities", "relationships", failed.alias("transient"))
 
@@ -233,8 +228,7 @@ def gather_snippets(mentioned: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def parse_reconciled(pairs: DataFrame) -> DataFrame:
     """Relations from pair replies (``name_a, name_b, raw``): blank means none, ``BA`` swaps the ends."""
-    obj = F.try_parse_json(recover_json(F.col("raw")))
-    said = pairs.withColumn("_o", obj).withColumn("_r", strip(_text_field(F.col("_o"), "relation")["v"]))
+    said = recover_json(pairs, "raw", "_o").withColumn("_r", strip(_text_field(F.col("_o"), "relation")["v"]))
     way = F.upper(strip(F.coalesce(F.try_variant_get("_o", "$.direction", "string"), F.lit(""))))
     swap = way == "BA"
     return (
@@ -284,16 +278,17 @@ def single_shot_input(texts: DataFrame) -> DataFrame:
 
 def single_shot(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One reply per document (``raw``): any invalid item voids the reply; the rest is normalised."""
-    obj = recover_json(F.col("raw"))
+    obj = F.col("_o")
 
     def all_valid(field: str, make: Callable[[Column, Column], Column]) -> Column:
-        items = _items(F.col("raw"), field)
-        absent = F.schema_of_variant(F.try_variant_get(F.try_parse_json(obj), f"$.{field}", "variant")).isNull()
-        return absent | F.coalesce(F.forall(F.transform(items, make), lambda e: e.isNotNull()), F.lit(False))
+        absent = F.schema_of_variant(F.try_variant_get(obj, f"$.{field}", "variant")).isNull()
+        valid = F.forall(F.transform(list_field(obj, field), make), lambda e: e.isNotNull())
+        return absent | F.coalesce(valid, F.lit(False))
 
-    good = replies.filter(obj.isNotNull() & all_valid("entities", _entity) & all_valid("relationships", _relation))
+    read = recover_json(replies, "raw", "_o").filter(obj.isNotNull())
+    good = read.filter(all_valid("entities", _entity) & all_valid("relationships", _relation))
     zero = F.lit(0).alias("chunk_index")
-    entities = good.select(*DOC, zero, F.inline(parse_entities(F.col("raw"))))
-    made = F.transform(_items(F.col("raw"), "relationships"), _relation)
+    entities = good.select(*DOC, zero, F.inline(parse_entities(obj)))
+    made = F.transform(list_field(obj, "relationships"), _relation)
     relations = good.select(*DOC, zero, F.inline(F.coalesce(made, F.array().cast(f"array<{RELATION}>"))))
     return normalize_extraction(entities, relations)

@@ -38,6 +38,17 @@ def _first_balanced_object(raw: pd.Series) -> pd.Series:
     return raw.map(scan)
 
 
+def _strict_json(c: Column) -> Column:
+    """The text as a variant when it is exactly one JSON value.
+
+    The parser stops after the first value, so trailing text has to be caught: a text that parses both as
+    the only element of a list and as the only member of an object has nothing before or after its value.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when(member.isNotNull(), F.try_variant_get(alone, "$[0]", "variant"))
+
+
 def recover_json(df: DataFrame, raw: str, out: str = "obj") -> DataFrame:
     """Add the JSON object of a model reply as a variant column, or null.
 
@@ -47,7 +58,7 @@ def recover_json(df: DataFrame, raw: str, out: str = "obj") -> DataFrame:
     """
     reply = F.col(raw)
     fenced = reply.rlike(FENCE)
-    staged = df.withColumn("_whole", F.try_parse_json(reply))
+    staged = df.withColumn("_whole", _strict_json(reply))
     broken = F.col("_whole").isNull()
     staged = staged.withColumn("_rest", _first_balanced_object(F.when(broken & ~fenced, reply)))
     span = F.when(broken, F.when(fenced, F.regexp_extract(reply, FENCE, 1)).otherwise(F.col("_rest")))

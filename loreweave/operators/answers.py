@@ -140,15 +140,13 @@ def parse_claims(obj: Column) -> Column:
 
     def build(item: Column, pos: Column) -> Column:
         cited = F.concat_ws(" ", F.nullif(field(item, "quote"), F.lit("")), F.nullif(field(item, "citation"), F.lit("")))
-        return F.struct(
+        claim = F.struct(
             pos.cast("int").alias("pos"), field(item, "text").alias("text"), F.lower(field(item, "support")).alias("support"),
             F.when(cited != "", cited).otherwise(field(item, "evidence")).alias("evidence"),
         )
+        return F.when(F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), claim)
 
-    made = F.filter(
-        F.transform(F.filter(items, lambda i: F.startswith(F.schema_of_variant(i), F.lit("OBJECT"))), build),
-        lambda c: (c["text"] != "") & c["support"].isin(*SUPPORT),
-    )
+    made = F.filter(F.transform(items, build), lambda c: (c["text"] != "") & c["support"].isin(*SUPPORT))
     return F.coalesce(made, F.array().cast("array<struct<pos int, text string, support string, evidence string>>"))
 
 

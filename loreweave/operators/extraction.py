@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loreweave.functions.jsonrec import list_field, recover_json
 from loreweave.functions.text import let, strip
 from loreweave.operators.ranking import join_text, top_k
+from loreweave.session import cut_lineage
 
 # Entity types, field limits, pair limits, snippet sizes, single-shot input limit.
 ENTITY_TYPES = ("Person", "Organization", "Location", "Concept", "Technology", "Product", "Event", "Date")
@@ -253,7 +254,8 @@ def extract_graph(
     ``reconciler`` adds ``raw`` to ``name_a, name_b`` pairs with their snippets.
     """
     replies = extractor(chunks.filter(strip(F.col("text")) != ""))
-    results = chunk_results(replies)
+    # Replies are parsed once; entities, relations, mentions and the outcome all read the parsed rows.
+    results = cut_lineage(chunk_results(replies))
     entities, relations = entity_rows(results), relation_rows(results)
     if reconciler is not None:
         seen = mentions(results)

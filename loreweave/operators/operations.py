@@ -107,7 +107,7 @@ def status_feed(observations: DataFrame, block: int = 86_400_000_000) -> DataFra
 
     The first sighting of a document is silent, as is every repeat of the last seen status.
     """
-    numbered = observations.withColumn("_at", F.unix_micros("ts"))
+    numbered = observations.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
     seen = neighbour(numbered, ["document_id"], "_at", {"before": "status"}, block=block, following=False)
     failed = F.coalesce(F.nullif(F.col("error_message"), F.lit("")), F.lit("Processing failed. Try re-uploading or check the format."))
     message = (

@@ -32,7 +32,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = QUESTION_SCHEMA) ->
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """One row per ``*.txt`` file: ``filename, text``."""
-    rows = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(root)
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return rows.select(F.url_decode(name).alias("filename"), F.col("value").alias("text"))
 

@@ -53,7 +53,7 @@ def lockout(attempts: DataFrame) -> DataFrame:
     independent runs at such pauses; runs, not accounts, are the unit of work and stream through a task
     in sorted Arrow batches with constant memory."""
     day = 86_400_000_000
-    rows = attempts.select(F.lower("email").alias("email"), "ts", "success", F.unix_micros("ts").alias("at"))
+    rows = attempts.select(F.lower("email").alias("email"), "ts", "success", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     gaps = neighbour(rows, ["email"], "at", {"before": "at"}, block=day, following=False)
     opens = F.when(F.col("before").isNull() | (F.col("at") - F.col("before") >= WINDOW_US), F.col("at"))
     runs = carry_forward(gaps.withColumn("run", opens), ["email"], "at", "run", block=day)
@@ -88,7 +88,7 @@ def lockout_stream(attempts: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Streaming form: one small state per account with an open counter, dropped by an event-time timer.
     Attempts later than the watermark are outside the state's reach and are dropped before it."""
     rows = attempts.withWatermark("ts", delay).select(
-        F.lower("email").alias("email"), "ts", "success", F.unix_micros("ts").alias("at")
+        F.lower("email").alias("email"), "ts", "success", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
     )
     return rows.groupBy("email").applyInPandasWithState(
         _step, OUT, "failures int, opened long", "append", GroupStateTimeout.EventTimeTimeout

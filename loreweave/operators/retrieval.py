@@ -70,100 +70,118 @@ class _Best:
             self.floor = self.rows[-1][0]
 
 
-def _scan(batch_rows: list, k: int, dense: bool, payload: list[str], out_schema: pa.Schema):
-    """Arrow function scoring index rows against one batch of questions of known size."""
-    users = sorted({r["user_id"] for r in batch_rows}, key=str)
-    by_user = {u: [r for r in batch_rows if r["user_id"] == u] for u in users}
-    allowed = {
-        r["query_id"]: set(r["document_ids"]) for r in batch_rows if r["document_ids"]
-    }
-    branch = "dense" if dense else "sparse"
-
-    def encode(rows: list):
-        if dense:
-            return np.array([r["dense"] for r in rows], dtype=np.float64)
-        vocabulary: dict[str, list[tuple[int, float]]] = {}
-        for q, r in enumerate(rows):
-            for item in r["sparse"]:
-                vocabulary.setdefault(item["term"], []).append((q, item["weight"]))
-        sizes = np.array([len(v) for v in vocabulary.values()] or [0])
-        flat = [x for v in vocabulary.values() for x in v]
-        return (
-            pa.array(list(vocabulary), pa.string()),
-            np.concatenate([[0], np.cumsum(sizes)]),
-            np.array([q for q, _ in flat], dtype=np.int64),
-            np.array([w for _, w in flat], dtype=np.float64),
-        )
+def _dense_code(rows: list) -> np.ndarray:
+    return np.array([r["dense"] for r in rows], dtype=np.float64)
+
+
+def _dense_scores(part: pa.RecordBatch, code: np.ndarray) -> np.ndarray:
+    vectors = part.column("dense").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.round(vectors.reshape(part.num_rows, -1) @ code.T, SCORE_DIGITS)
+
+
+def _sparse_code(rows: list) -> tuple:
+    """Inverted form of a batch of questions: vocabulary, and per term the questions having it."""
+    vocabulary: dict[str, list[tuple[int, float]]] = {}
+    for q, r in enumerate(rows):
+        for item in r["sparse"]:
+            vocabulary.setdefault(item["term"], []).append((q, item["weight"]))
+    flat = [x for v in vocabulary.values() for x in v]
+    return (
+        pa.array(list(vocabulary), pa.string()),
+        np.concatenate([[0], np.cumsum([len(v) for v in vocabulary.values()])]).astype(np.int64),
+        np.array([q for q, _ in flat], dtype=np.int64),
+        np.array([w for _, w in flat], dtype=np.float64),
+        len(rows),
+    )
+
+
+def _sparse_scores(part: pa.RecordBatch, code: tuple) -> np.ndarray:
+    """Scores of a block: known terms of its rows are matched to questions and summed per cell."""
+    vocabulary, pointers, owner, weight, width = code
+    n, lists = part.num_rows, part.column("sparse")
+    items = lists.flatten()
+    row = np.repeat(np.arange(n), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    term = pc.index_in(items.field("term"), value_set=vocabulary)
+    known = term.is_valid().to_numpy(zero_copy_only=False)
+    row, value = row[known], items.field("weight").to_numpy(zero_copy_only=False)[known]
+    term = term.drop_null().to_numpy(zero_copy_only=False)
+    fan = pointers[term + 1] - pointers[term]
+    begins = np.concatenate([[0], np.cumsum(fan)[:-1]]) if len(fan) else fan
+    at = np.repeat(pointers[term] - begins, fan) + np.arange(fan.sum())
+    cell = np.repeat(row, fan) * width + owner[at]
+    sums = np.bincount(cell, weights=np.repeat(value, fan) * weight[at], minlength=n * width)
+    return np.round(sums.reshape(n, width), SCORE_DIGITS)
+
 
-    def score(part: pa.RecordBatch, rows: list, code) -> np.ndarray:
-        n = part.num_rows
-        if dense:
-            vectors = part.column("dense").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            return np.round(vectors.reshape(n, -1) @ code.T, SCORE_DIGITS)
-        vocabulary, pointers, owner, weight = code
-        lists = part.column("sparse")
-        items = lists.flatten()
-        row = np.repeat(np.arange(n), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
-        term = pc.index_in(items.field("term"), value_set=vocabulary)
-        known = term.is_valid().to_numpy(zero_copy_only=False)
-        row, value = row[known], items.field("weight").to_numpy(zero_copy_only=False)[known]
-        term = term.drop_null().to_numpy(zero_copy_only=False)
-        fan = pointers[term + 1] - pointers[term]
-        at = np.repeat(pointers[term] - np.concatenate([[0], np.cumsum(fan)[:-1]]), fan) + np.arange(fan.sum())
-        cell = np.repeat(row, fan) * len(rows) + owner[at]
-        sums = np.bincount(cell, weights=np.repeat(value, fan) * weight[at], minlength=n * len(rows))
-        return np.round(sums.reshape(n, len(rows)), SCORE_DIGITS)
+SCORERS = {"dense": (_dense_code, _dense_scores), "sparse": (_sparse_code, _sparse_scores)}
+
+
+def _scan(shipped: list, limits: dict[str, str], payload: list[str], out_schema: pa.Schema):
+    """Arrow function scoring index rows against one bounded batch of questions.
+
+    ``limits``: branch -> column holding how many rows a question wants from it (0: none).
+    """
+    allowed = {r["query_id"]: set(r["document_ids"]) for r in shipped if r["document_ids"]}
+    groups = [
+        (branch, user, [r for r in shipped if r["user_id"] == user and r[column]])
+        for branch, column in limits.items()
+        for user in {r["user_id"] for r in shipped}
+    ]
+    groups = [g for g in groups if g[2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = {u: encode(rows) for u, rows in by_user.items()}
-        best = {r["query_id"]: _Best() for r in batch_rows}
+        coded = [(branch, user, rows, SCORERS[branch][0](rows)) for branch, user, rows in groups]
+        best = {(branch, r["query_id"]): _Best() for branch, _, rows in groups for r in rows}
         for whole in batches:
             for lo in range(0, whole.num_rows, BLOCK):
                 block = whole.slice(lo, BLOCK)
                 owner = np.array(block.column("user_id").to_pylist(), dtype=object)
-                for user, rows in by_user.items():
-                    mine = np.flatnonzero(owner == user)
-                    if not len(mine):
+                slices: dict = {}
+                for branch, user, rows, code in coded:
+                    if user not in slices:
+                        mine = np.flatnonzero(owner == user)
+                        part = block.take(pa.array(mine))
+                        slices[user] = (part, part.column("chunk_id").to_pylist(), part.column("document_id").to_pylist())
+                    part, ids, docs = slices[user]
+                    if not part.num_rows:
                         continue
-                    part = block.take(pa.array(mine))
-                    scores = score(part, rows, codes[user])
-                    ids = part.column("chunk_id").to_pylist()
-                    docs = part.column("document_id").to_pylist()
-                    floors = np.array([best[r["query_id"]].floor for r in rows])
+                    scores = SCORERS[branch][1](part, code)
+                    floors = np.array([best[branch, r["query_id"]].floor for r in rows])
                     hot = scores >= floors[None, :]
-                    if not dense:
+                    if branch == "sparse":
                         hot &= scores > 0
-                    extra = [part.column(c) for c in payload]
                     for q in np.flatnonzero(hot.any(axis=0)):
-                        query = rows[q]["query_id"]
-                        rows_in = np.flatnonzero(hot[:, q])
-                        limits = allowed.get(query)
-                        if limits:
-                            rows_in = [i for i in rows_in if docs[i] in limits]
-                        rows_in = np.asarray(rows_in, dtype=np.int64)
-                        column = scores[rows_in, q]
-                        if len(rows_in) > k:  # ties with the k-th score stay in
+                        query, k = rows[q]["query_id"], rows[q][limits[branch]]
+                        at = np.flatnonzero(hot[:, q])
+                        only = allowed.get(query)
+                        if only:
+                            at = np.array([i for i in at if docs[i] in only], dtype=np.int64)
+                        column = scores[at, q]
+                        if len(at) > k:  # ties with the k-th score stay in
                             least = np.partition(column, len(column) - k)[len(column) - k]
-                            rows_in, column = rows_in[column >= least], column[column >= least]
-                        ordered = sorted(zip(column.tolist(), rows_in.tolist()), key=lambda x: (-x[0], ids[x[1]]))
-                        found = [(s, ids[i], tuple(c[i].as_py() for c in extra)) for s, i in ordered[:k]]
-                        best[query].offer(found, k)
-        rows_out = [
-            (query, branch, cid, s, *extra) for query, b in best.items() for s, cid, extra in b.rows
-        ]
-        if rows_out:
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows_out), out_schema)]
+                            at, column = at[column >= least], column[column >= least]
+                        ordered = sorted(zip(column.tolist(), at.tolist()), key=lambda x: (-x[0], ids[x[1]]))
+                        fields = [part.column(c) for c in payload]
+                        best[branch, query].offer([(s, ids[i], tuple(c[i].as_py() for c in fields)) for s, i in ordered[:k]], k)
+        out = [(query, branch, cid, s, *extra) for (branch, query), b in best.items() for s, cid, extra in b.rows]
+        if out:
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*out), out_schema)]
             yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
 
     return run
 
 
-def _branch(queries: DataFrame, index: DataFrame, k: int, dense: bool, batch: int) -> DataFrame:
-    """Best ``k`` index rows per question of one branch, as ``query_id, branch, …, score, branch_rank``."""
-    code = "dense" if dense else "sparse"
+def search(queries: DataFrame, index: DataFrame, limits: dict[str, Column | int], *, batch: int = QUERY_BATCH) -> DataFrame:
+    """Best index rows per question and branch in one scan of the index.
+
+    ``limits``: branch (``dense``, ``sparse``) -> rows wanted, a number or a per-question expression. Output:
+    ``query_id, branch, chunk_id, score`` + chunk columns + ``branch_rank``.
+    """
     if "document_ids" not in queries.columns:
         queries = queries.withColumn("document_ids", F.lit(None).cast(T.ArrayType(index.schema["document_id"].dataType)))
-    encoded = queries.select("query_id", "user_id", "document_ids", code).filter(F.size(code) > 0)
+    wanted = {b: F.when(F.size(b) > 0, k if isinstance(k, Column) else F.lit(k)).otherwise(0).cast("int") for b, k in limits.items()}
+    columns = {b: f"k_{b}" for b in limits}
+    encoded = queries.select("query_id", "user_id", "document_ids", *limits, *[w.alias(columns[b]) for b, w in wanted.items()])
     payload = ["user_id", "document_id", "chunk_index", "text"]
     schema = T.StructType(
         [
@@ -175,41 +193,49 @@ def _branch(queries: DataFrame, index: DataFrame, k: int, dense: bool, batch: in
         ]
     )
     # The count decides how many scans are needed, so one shipped batch never exceeds its bound.
-    total = encoded.count()
-    slices = max(1, -(-total // batch))
-    rows = index.select("chunk_id", *payload, code)
+    slices = max(1, -(-encoded.count() // batch))
+    rows = index.select("chunk_id", *payload, *limits)
     parts = []
     for i in range(slices):
-        piece = encoded
-        if slices > 1:
-            piece = encoded.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        shipped = piece.collect()
+        piece = encoded if slices == 1 else encoded.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
+        shipped = [r.asDict(recursive=True) for r in piece.collect()]
         if not shipped:
             continue
-        wanted = sorted({r["user_id"] for r in shipped}, key=str)
-        scanned = rows.filter(F.col("user_id").isin(wanted)) if len(wanted) <= 200 else rows
-        if dense:
-            width = len(shipped[0]["dense"])
+        users = sorted({r["user_id"] for r in shipped}, key=str)
+        scanned = rows.filter(F.col("user_id").isin(users)) if len(users) <= 200 else rows
+        if "dense" in limits:
+            width = max(len(r["dense"]) for r in shipped)
             scanned = scanned.filter(F.size("dense") == width)
-            shipped = [r for r in shipped if len(r["dense"]) == width]
-        parts.append(
-            scanned.mapInArrow(_scan(shipped, k, dense, payload, to_arrow_schema(schema)), schema)
-        )
-    if not parts:
-        found = index.sparkSession.createDataFrame([], schema)
-    else:
-        found = reduce(DataFrame.unionByName, parts)
-    return top_k(found, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, rank="branch_rank")
+            for r in shipped:
+                r[columns["dense"]] *= len(r["dense"]) == width
+        parts.append(scanned.mapInArrow(_scan(shipped, columns, payload, to_arrow_schema(schema)), schema))
+    found = reduce(DataFrame.unionByName, parts) if parts else index.sparkSession.createDataFrame([], schema)
+    most = encoded.select("query_id", *columns.values())
+    # A task returns at most k rows per question, so the merge below sees k rows per question and task.
+    order = [F.desc("score"), F.asc("chunk_id")]
+    w = Window.partitionBy("query_id", "branch").orderBy(*order)
+    ranked = found.withColumn("branch_rank", F.row_number().over(w))
+    fixed = {b: k for b, k in limits.items() if not isinstance(k, Column)}
+    if len(fixed) == len(limits):
+        keep = F.lit(False)
+        for b, k in fixed.items():
+            keep = keep | ((F.col("branch") == b) & (F.col("branch_rank") <= k))
+        return ranked.filter(keep)
+    joined = ranked.join(most, "query_id")
+    keep = F.lit(False)
+    for b, column in columns.items():
+        keep = keep | ((F.col("branch") == b) & (F.col("branch_rank") <= F.col(column)))
+    return joined.filter(keep).drop(*columns.values())
 
 
 def dense_top_k(queries: DataFrame, index: DataFrame, k: int = PER_BRANCH, *, batch: int = QUERY_BATCH) -> DataFrame:
     """Cosine top-k of unit vectors. ``queries``: ``query_id, user_id, dense[, document_ids]``."""
-    return _branch(queries, index, k, True, batch)
+    return search(queries, index, {"dense": k}, batch=batch)
 
 
 def sparse_top_k(queries: DataFrame, index: DataFrame, k: int = PER_BRANCH, *, batch: int = QUERY_BATCH) -> DataFrame:
     """Lexical top-k: dot product of term weights; chunks sharing no term are not candidates."""
-    return _branch(queries, index, k, False, batch)
+    return search(queries, index, {"sparse": k}, batch=batch)
 
 
 def reciprocal_rank_fusion(branches: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
@@ -237,12 +263,10 @@ def candidate_search(
     if not hybrid:
         return dense_top_k(queries, index, limit, batch=batch).withColumnRenamed("branch_rank", "rank").select(columns)
     lexical = F.size("sparse") > 0
-    with_terms, without = queries.filter(lexical), queries.filter(~lexical)
-    both = dense_top_k(with_terms, index, per_branch, batch=batch).unionByName(
-        sparse_top_k(with_terms, index, per_branch, batch=batch)
-    )
-    fused = reciprocal_rank_fusion(both, limit, rrf_k).select(columns)
-    plain = dense_top_k(without, index, limit, batch=batch).withColumnRenamed("branch_rank", "rank")
+    hits = search(queries, index, {"dense": F.when(lexical, per_branch).otherwise(limit), "sparse": per_branch}, batch=batch)
+    marked = hits.join(queries.select("query_id", lexical.alias("_lexical")), "query_id")
+    fused = reciprocal_rank_fusion(marked.filter("_lexical"), limit, rrf_k).select(columns)
+    plain = marked.filter("not _lexical").withColumnRenamed("branch_rank", "rank")
     return fused.unionByName(plain.select(columns))
 
 

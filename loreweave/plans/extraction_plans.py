@@ -12,6 +12,7 @@ from loreweave.operators import extraction as ex
 from loreweave.operators import resolution as rs
 from loreweave.operators.graph_ingest import TABLES, Graph, build_kg
 from loreweave.plans.registry import plan, table
+from loreweave.session import cut_lineage
 
 # Model replies built from order lines: one chunk per (order, line number). By order number modulo five the
 # first reply is plain, fenced, wrapped in prose, broken, or failed; every fourth second pass failed.
@@ -60,7 +61,7 @@ def replies(t) -> DataFrame:
 
 
 def results(t):
-    return ex.chunk_results(replies(t))
+    return cut_lineage(ex.chunk_results(replies(t)))
 
 
 @plan("s11_lenient_json", """

@@ -8,6 +8,7 @@ from loreweave.functions import text as tx
 from loreweave.functions.vectors import embed
 from loreweave.operators import chunking, evals, index, retrieval
 from loreweave.plans.registry import plan
+from loreweave.session import cut_lineage
 
 
 def long_key(*names):
@@ -17,7 +18,8 @@ def long_key(*names):
 @plan("flagship_passages")
 def flagship(t):
     chunks = chunking.with_chunk_id(chunking.chunk(t.docs, drop_noise=True))
-    return retrieval.retrieve(t.questions, index.build_index(chunks)).select(
+    stored = cut_lineage(index.build_index(chunks))
+    return retrieval.retrieve(t.questions, stored).select(
         "query_id", "rank", "document_id", "chunk_index", "chunk_id", "score"
     )
 
@@ -194,7 +196,7 @@ def r2b(t):
 
 @plan("r3_dense_topk", "SELECT query_id, chunk_id, score, CAST(branch_rank AS BIGINT) AS branch_rank FROM dense_top", ("dense_top",))
 def r3(t):
-    found = retrieval.dense_top_k(retrieval.encode_queries(t.questions).withColumn("sparse", F.col("sparse")), t.index)
+    found = retrieval.dense_top_k(retrieval.encode_queries(t.questions), t.index)
     # Questions without any token have the zero vector; every chunk scores 0 and ids decide.
     return found.select("query_id", "chunk_id", "score", F.col("branch_rank").cast("long").alias("branch_rank"))
 
@@ -227,7 +229,7 @@ SELECT query_id, chunk_id, score, CAST(rank AS BIGINT) AS rank FROM candidates W
 """, ("candidates", "question_tokens"))
 def r5(t):
     q = retrieval.encode_queries(t.questions).filter(F.size("sparse") > 0)
-    both = retrieval.dense_top_k(q, t.index).unionByName(retrieval.sparse_top_k(q, t.index))
+    both = retrieval.search(q, t.index, {"dense": retrieval.PER_BRANCH, "sparse": retrieval.PER_BRANCH})
     return retrieval.reciprocal_rank_fusion(both, 40).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -336,9 +338,12 @@ EXPECTED = """SELECT b.item_id AS query_id, CAST(d.doc_id AS VARCHAR) AS documen
 def _expected(t):
     """Documents containing an item: prefiltered on a shared token run, then the whole text."""
     items = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    first = lambda c: F.slice(F.split(c, " "), 2, 4)
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(c, " ")) - 3, F.lit(1))), lambda i: F.array_join(F.slice(F.split(c, " "), i, 4), " ")))
-    keyed = items.withColumn("run", F.array_join(first(F.col("item")), " "))
+    run = lambda w, i: F.array_join(F.slice(w, i, 4), " ")
+    keyed = items.withColumn("run", run(F.split("item", " "), F.lit(2)))
+    runs = lambda c: tx.let(
+        F.split(c, " "),
+        lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: run(w, i))),
+    )
     docs = t.raw("documents").select(F.col("doc_id").cast("string").alias("document_id"), "text", F.explode(runs(F.col("text"))).alias("run"))
     return docs.join(keyed, "run").filter(F.contains("text", F.col("item"))).select("query_id", "document_id").distinct()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import contains_ci, sanitize_filename
@@ -14,6 +16,7 @@ from loreweave.operators.retrieval import web_citations
 from loreweave.plans.extraction_plans import wrap
 from loreweave.plans.registry import plan, table
 from loreweave.plans.retrieval_plans import snippet_sql
+from loreweave.session import shared_folder
 from loreweave.sources import files as fl
 from loreweave.sources import intake as ik
 from loreweave.streaming.lockout import lockout
@@ -72,17 +75,8 @@ def s4(t):
 
 
 def scratch(t, name):
-    """Folder for read-back queries: shared storage on a cluster, /tmp in local runs."""
-    import tempfile
-
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not t.spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
-    import uuid
-
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """Fresh folder for read-back queries in the shared folder of the session."""
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @plan("s5_object_store", """
@@ -91,9 +85,8 @@ SELECT user_id, document_id, CAST(octet_length(encode(extracted_text)) AS BIGINT
 def s5(t):
     """Objects written by key (one text file per document id) and read back as bytes."""
     root = scratch(t, "objects")
-    keyed = t.docs.select(F.concat(F.lit("users="), "user_id").alias("u"), "user_id", "document_id", "extracted_text")
     # Spark writes one folder per key; the object is the single part file inside it.
-    keyed.select("extracted_text", "user_id", "document_id").write.partitionBy("user_id", "document_id").option("lineSep", "\x01").text(root)
+    t.docs.select("extracted_text", "user_id", "document_id").write.partitionBy("user_id", "document_id").option("lineSep", "\x01").text(root)
     files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(root)
     rows = files.select(
         F.regexp_extract("path", r"user_id=([^/]+)/", 1).alias("user_id"), F.regexp_extract("path", r"document_id=([^/]+)/", 1).alias("document_id"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.text import placeholder_title
 from loreweave.operators.index import build_index
+from loreweave.session import cut_lineage
 
 PASSAGE = 400
 
@@ -87,7 +88,7 @@ class Tables:
 
     @cached_property
     def index(self) -> DataFrame:
-        return build_index(self.passages)
+        return cut_lineage(build_index(self.passages))
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -110,7 +111,7 @@ class Tables:
         n = self.raw("nation")
         cust = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("c_nation"), F.col("n_regionkey"))
         supp = n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("s_nation"))
-        return (
+        return cut_lineage(
             self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
             .join(self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.raw("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
@@ -155,13 +156,13 @@ class Tables:
     def entities(self) -> DataFrame:
         """Entity table folded straight from the observations (what repeated upserts arrive at)."""
         first = [F.min_by(a, F.when(F.col(a).isNotNull(), F.col("seq"))).alias(a) for a in ("name", "type", "description", "embedding")]
-        return self.observations.groupBy("user_id", "name_lower").agg(
+        return cut_lineage(self.observations.groupBy("user_id", "name_lower").agg(
             *first, F.min_by("seen_at", "seq").alias("created_at"), F.max("seen_at").alias("last_seen_at")
-        )
+        ))
 
     @cached_property
     def entity_docs(self) -> DataFrame:
-        return self.observations.select("user_id", "name_lower", "document_id").distinct()
+        return cut_lineage(self.observations.select("user_id", "name_lower", "document_id").distinct())
 
     @cached_property
     def edge_rows(self) -> DataFrame:
@@ -173,7 +174,8 @@ class Tables:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.edge_rows.groupBy("user_id", "source_lower", "target_lower", "relation").agg(F.min("created_at").alias("created_at"))
+        keys = ["user_id", "source_lower", "target_lower", "relation"]
+        return cut_lineage(self.edge_rows.groupBy(*keys).agg(F.min("created_at").alias("created_at")))
 
     @cached_property
     def edge_docs(self) -> DataFrame:

@@ -16,6 +16,7 @@ from loreweave.functions.names import name_key
 from loreweave.functions.vectors import Embedder, embed
 from loreweave.operators.ranking import top_k
 from loreweave.operators.resolution import entity_text
+from loreweave.session import cut_lineage
 
 NODE = ["user_id", "name_lower"]
 EDGE = ["user_id", "source_lower", "target_lower", "relation"]
@@ -141,8 +142,9 @@ def entity_facts(
     distance, relation_chain``, nearest first, then by name. Isolated seeds have an empty list. Among
     equally short paths the alphabetically first chain is reported.
 
-    Each hop keeps one chain per (seed, neighbour) and drops neighbours already reached, so the frontier
-    is bounded by reached nodes rather than by paths.
+    Each hop keeps one chain per (seed, neighbour) and drops neighbours already reached. Nearer neighbours
+    always rank first, so a seed that has ``per_seed`` of them is finished and takes no further hop: hubs
+    and their surroundings are never expanded twice.
     """
     if not 1 <= hops <= MAX_HOPS:
         raise ValueError(f"hops must be between 1 and {MAX_HOPS}")
@@ -150,27 +152,32 @@ def entity_facts(
     start = entities.withColumn("_l", F.lower("name")).join(asked, ["user_id", "_l"], "left_semi").drop("_l")
     steps = symmetric(edges).groupBy("user_id", "node", "other_lower").agg(F.min("relation").alias("relation"))
     none = F.array().cast("array<string>")
-    frontier = start.select("user_id", F.col("name_lower").alias("seed"), F.col("name_lower").alias("node"), none.alias("chain"))
+    own = start.select("user_id", F.col("name_lower").alias("seed"), F.col("name").alias("seed_name"))
+    other = entities.select(
+        "user_id", F.col("name_lower").alias("node"), F.col("name").alias("other"),
+        F.col("type").alias("other_type"), F.col("description").alias("other_description"),
+    )
+    frontier = own.select("user_id", "seed", "seed_name", F.col("seed").alias("node"), none.alias("chain"))
     reached = frontier.select("user_id", "seed", "node")
     layers = []
     for hop in range(1, hops + 1):
         wide = frontier.join(steps, ["user_id", "node"]).select(
-            "user_id", "seed", F.col("other_lower").alias("node"), F.concat("chain", F.array("relation")).alias("chain")
+            "user_id", "seed", "seed_name", F.col("other_lower").alias("node"), F.concat("chain", F.array("relation")).alias("chain")
         )
-        frontier = (
-            wide.groupBy("user_id", "seed", "node").agg(F.min("chain").alias("chain"))
+        fresh = (
+            wide.groupBy("user_id", "seed", "seed_name", "node").agg(F.min("chain").alias("chain"))
             .join(reached, ["user_id", "seed", "node"], "left_anti")
         )
-        layers.append(frontier.withColumn("distance", F.lit(hop)))
         if hop < hops:
-            reached = reached.unionByName(frontier.select("user_id", "seed", "node"))
-    found = reduce(DataFrame.unionByName, layers)
-    other = entities.select(
-        "user_id", F.col("name_lower").alias("node"), F.col("name").alias("other"),
-        F.col("type").alias("other_type"), F.col("description").alias("other_description"),
-    )
-    own = start.select("user_id", F.col("name_lower").alias("seed"), F.col("name").alias("seed_name"))
-    rows = found.join(other, ["user_id", "node"]).join(own, ["user_id", "seed"]).filter(F.col("other") != F.col("seed_name"))
+            fresh = cut_lineage(fresh)
+        named = fresh.join(other, ["user_id", "node"]).filter(F.col("other") != F.col("seed_name"))
+        layers.append(named.withColumn("distance", F.lit(hop)))
+        if hop < hops:
+            counts = reduce(DataFrame.unionByName, layers).groupBy("user_id", "seed").agg(F.count(F.lit(1)).alias("_n"))
+            full = counts.filter(F.col("_n") >= per_seed).select("user_id", "seed")
+            frontier = fresh.join(full, ["user_id", "seed"], "left_anti")
+            reached = reached.unionByName(fresh.select("user_id", "seed", "node"))
+    rows = reduce(DataFrame.unionByName, layers)
     best = top_k(rows, ["user_id", "seed"], [F.asc("distance"), F.asc("other"), F.asc("node")], per_seed, salt_on=["node"])
     fact = F.struct("rank", "other", "other_type", "other_description", "distance", F.col("chain").alias("relation_chain"))
     lists = best.groupBy("user_id", F.col("seed").alias("name_lower")).agg(F.array_sort(F.collect_list(fact)).alias("relations"))

@@ -12,6 +12,7 @@ from loreweave.operators.index import build_index
 from loreweave.session import cut_lineage
 
 PASSAGE = 400
+SPREAD_BY = {"documents": "doc_id", "lineitem": "l_orderkey", "pages": "page_id"}
 
 
 class Tables:
@@ -21,7 +22,14 @@ class Tables:
         self.spark, self.root = spark, root
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """A given table. One small file is one task; tables that feed heavy work are spread over the cores
+        when the scan has fewer splits than cores, and left alone otherwise."""
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        key = SPREAD_BY.get(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if key is None or df.rdd.getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores, key)
 
     @cached_property
     def docs(self) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import sentencepiece_codec, token_counts
+from loreweave.llm import mixing, pii, sentencepiece_codec, token_counts, toxicity
 from loreweave.llm.common import read
 
 CONTEXT = 2048  # tokens; a longer document is over the limit
@@ -28,8 +28,43 @@ def op2_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     return sentencepiece_codec.encode(read(spark, root, "documents"), _model("piece_bpe_32k.model"))
 
 
+PII_KEY = "example key; give your own from a secret store"
+
+
+def op4_pii(spark: SparkSession, root: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, root, "documents"), PII_KEY)
+
+
+def op5_mixing(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(read(spark, root, "documents")).drop("pieces")
+
+
+def _held_out(doc_id: str):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+TOXIC = 0.7
+
+
+def toxicity_model(spark: SparkSession, root: str) -> toxicity.Model:
+    """Learned from the labelled documents that are not held out."""
+    labels = read(spark, root, "labels").filter(~_held_out("doc_id"))
+    return toxicity.fit(read(spark, root, "documents"), labels)
+
+
+def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    scored = toxicity.score(read(spark, root, "documents"), toxicity_model(spark, root))
+    return scored.select(
+        "doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+        F.size("sentences").alias("n_sentences"), "sentences",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_pii": op4_pii,
+    "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
 }
 SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import mixing, pii, sentencepiece_codec, token_counts, toxicity
+from loreweave.llm import minhash_dedup, mixing, pii, sentencepiece_codec, token_counts, toxicity
 from loreweave.llm.common import read
 
 CONTEXT = 2048  # tokens; a longer document is over the limit
@@ -60,11 +60,16 @@ def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op9_minhash_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return minhash_dedup.find(read(spark, root, "documents"), shingle=3, least=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 SQL: dict[str, str] = {}

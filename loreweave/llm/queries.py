@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import lattice_dedup, minhash_dedup, mixing, pii, sentencepiece_codec, token_counts, toxicity
+from loreweave.llm import ann, lattice_dedup, minhash_dedup, mixing, pii, sentencepiece_codec, token_counts, toxicity
 from loreweave.llm.common import read
 
 CONTEXT = 2048  # tokens; a longer document is over the limit
@@ -60,6 +60,10 @@ def op6_toxicity(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op7_nearest(spark: SparkSession, root: str) -> DataFrame:
+    return ann.search(read(spark, root, "embeddings"), "vec_id % 50 = 0")
+
+
 def op8_lattice_dedup(spark: SparkSession, root: str) -> DataFrame:
     return lattice_dedup.find(read(spark, root, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_nearest": op7_nearest,
     "op8_lattice_dedup": op8_lattice_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
 }

@@ -1,22 +1,57 @@
-"""Cleaning a corpus: stages over `documents`, each written and read again as the next one's input."""
+"""Cleaning a corpus: stages over `documents`, each written and read again as the next one's input.
+
+Every stage works on all that the one before kept, and all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loreweave.llm import queries, sentencepiece_codec
+from loreweave.llm import minhash_dedup, mixing, pii, queries, sentencepiece_codec, toxicity
 from loreweave.llm.common import read, store
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold; the model learns from all labels of the folder."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model, threshold=queries.TOXIC)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles."""
+    return minhash_dedup.keep_first(docs, shingle=5, least=80, bands=32)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms in place of personal data."""
+    hidden = pii.pseudonymise(docs, queries.PII_KEY, keep=tuple(docs.columns))
+    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for every piece that it takes of a document, so a document that it takes twice stands twice."""
+    mixed = mixing.mix(docs, keep=tuple(docs.columns)).withColumn("_piece", F.explode("pieces"))
+    first, after = F.col("_piece.first"), F.col("_piece.after")
+    text = F.when((first == 0) & (after == F.col("size")), F.col("text")).otherwise(mixing.cut(F.col("text"), first, after))
+    return mixed.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of what is left."""
+    """SentencePiece ids of the mix."""
     return sentencepiece_codec.encode(docs, queries._model("piece_bpe_32k.model"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("sentencepiece", encode)]
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("pii", hide_personal_data),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+ORACLE_SQL = None  # a trained model, hashed shards and a tokenizer are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

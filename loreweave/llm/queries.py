@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import ann, lattice_dedup, minhash_dedup, mixing, pii, sentencepiece_codec, token_counts, toxicity
+from loreweave.llm import ann, chat_format, lattice_dedup, licenses, minhash_dedup, mixing, pii, sentencepiece_codec, token_counts, toxicity
 from loreweave.llm.common import read
 
 CONTEXT = 2048  # tokens; a longer document is over the limit
@@ -28,6 +28,10 @@ def op2_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     return sentencepiece_codec.encode(read(spark, root, "documents"), _model("piece_bpe_32k.model"))
 
 
+def op3_chat_format(spark: SparkSession, root: str) -> DataFrame:
+    return chat_format.repair(read(spark, root, "conversations")).drop("place")
+
+
 PII_KEY = "example key; give your own from a secret store"
 
 
@@ -72,14 +76,21 @@ def op9_minhash_dedup(spark: SparkSession, root: str) -> DataFrame:
     return minhash_dedup.find(read(spark, root, "documents"), shingle=3, least=85)
 
 
+def op10_licenses(spark: SparkSession, root: str) -> DataFrame:
+    docs = read(spark, root, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_chat_format": op3_chat_format,
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_nearest": op7_nearest,
     "op8_lattice_dedup": op8_lattice_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_licenses": op10_licenses,
 }
 SQL: dict[str, str] = {}

@@ -2,51 +2,50 @@
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loreweave.session import cut_lineage
+
 FENCE = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"
 
 
-@F.pandas_udf(T.StringType())
-def _first_balanced_object(raw: pd.Series) -> pd.Series:
-    """First brace-balanced span outside strings; only rows the JVM could not settle get here."""
-
-    def scan(text: str | None) -> str | None:
-        begin = -1 if text is None else text.find("{")
-        if begin < 0:
-            return None
-        level, quoted, pos = 0, False, begin
-        while pos < len(text):
-            c = text[pos]
-            if quoted:
-                if c == "\\":
-                    pos += 1
-                elif c == '"':
-                    quoted = False
-            elif c == '"':
-                quoted = True
-            elif c in "{}":
-                level += 1 if c == "{" else -1
-                if level == 0:
-                    return text[begin : pos + 1]
-            pos += 1
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}]', re.DOTALL)
+
+
+def balanced_object(text: str) -> str | None:
+    """Text from the first opening brace to where the running depth of braces is zero again.
+
+    Quoted strings, from that brace on, count as one token, so braces inside them have no depth. Null if the
+    depth never returns to zero.
+    """
+    begin = text.find("{")
+    if begin < 0:
         return None
+    tokens = list(_TOKEN.finditer(text, begin))
+    depth = accumulate((t.group() == "{") - (t.group() == "}") for t in tokens)
+    return next((text[begin : t.end()] for t, d in zip(tokens, depth) if d == 0 and t.group() == "}"), None)
 
-    return raw.map(scan)
+
+@F.pandas_udf(T.StringType())
+def _span(raw: pd.Series) -> pd.Series:
+    return raw.map(balanced_object)
 
 
 def _strict_json(c: Column) -> Column:
     """The text as a variant when it is exactly one JSON value.
 
-    The parser stops after the first value, so trailing text has to be caught: a text that parses both as
-    the only element of a list and as the only member of an object has nothing before or after its value.
+    The parser stops after the first value, so trailing text has to be caught: exactly if the text is one value,
+    a list of it and a known second element has that element second and no third.
     """
-    alone = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    return F.when(member.isNotNull(), F.try_variant_get(alone, "$[0]", "variant"))
+    framed = F.try_parse_json(F.concat(F.lit("["), c, F.lit(",true]")))
+    alone = F.coalesce(F.try_variant_get(framed, "$[1]", "boolean"), F.lit(False)) & F.try_variant_get(framed, "$[2]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(framed, "$[0]", "variant"))
 
 
 def recover_json(df: DataFrame, raw: str, out: str = "obj") -> DataFrame:
@@ -54,17 +53,17 @@ def recover_json(df: DataFrame, raw: str, out: str = "obj") -> DataFrame:
 
     Order: the whole reply; if that is not JSON at all, the fenced object; with no fence, the first
     balanced object. A reply that is valid JSON but not an object is null, as is a broken fenced object.
-    Only replies that neither parse nor carry a fence are shipped to Python.
+    The reply is parsed once and stored; only rows that neither parse nor carry a fence go to Python.
     """
     reply = F.col(raw)
-    fenced = reply.rlike(FENCE)
-    staged = df.withColumn("_whole", _strict_json(reply))
-    broken = F.col("_whole").isNull()
-    staged = staged.withColumn("_rest", _first_balanced_object(F.when(broken & ~fenced, reply)))
-    span = F.when(broken, F.when(fenced, F.regexp_extract(reply, FENCE, 1)).otherwise(F.col("_rest")))
-    staged = staged.withColumn("_any", F.coalesce(F.col("_whole"), F.try_parse_json(span)))
+    staged = cut_lineage(df.withColumn("_whole", _strict_json(reply)))
+    odd = F.col("_whole").isNull() & reply.isNotNull() & ~reply.rlike(FENCE)
+    rest = F.coalesce(odd, F.lit(False))
+    settled = staged.filter(~rest).withColumn("_span", F.when(F.col("_whole").isNull(), F.regexp_extract(reply, FENCE, 1)))
+    found = staged.filter(rest).withColumn("_span", _span(reply))
+    both = settled.unionByName(found).withColumn("_any", F.coalesce(F.col("_whole"), F.try_parse_json("_span")))
     kept = F.when(F.startswith(F.schema_of_variant("_any"), F.lit("OBJECT")), F.col("_any"))
-    return staged.withColumn(out, kept).drop("_whole", "_rest", "_any")
+    return both.withColumn(out, kept).drop("_whole", "_span", "_any")
 
 
 def text_field(obj: Column, name: str) -> Column:

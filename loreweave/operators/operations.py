@@ -78,7 +78,7 @@ def rate_breaches(requests: DataFrame, limits: DataFrame) -> DataFrame:
     ``requests``: ``ip, route, ts``. Works on a stream as well (the window start is an event-time bucket);
     ``limits`` is a handful of fixed rows.
     """
-    timed = requests.join(F.broadcast(limits), "route")
+    timed = requests.join(limits, "route")
     start = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / F.col("period")) * F.col("period"))
     counts = timed.groupBy("ip", "route", "allowed", "period", start.alias("window_start")).agg(F.count(F.lit(1)).alias("requests"))
     return counts.withColumn("breached", F.col("requests") > F.col("allowed"))

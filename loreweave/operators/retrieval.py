@@ -24,6 +24,7 @@ from loreweave.functions.text import clip, snippet, tokens
 from loreweave.functions.vectors import Embedder, embed
 from loreweave.operators.index import query_weights
 from loreweave.operators.ranking import top_k
+from loreweave.session import cut_lineage
 
 # Fixed values of the retrieval settings.
 TOP_K = 5
@@ -122,27 +123,30 @@ def _scan(shipped: list, limits: dict[str, str], payload: list[str], out_schema:
     ``limits``: branch -> column holding how many rows a question wants from it (0: none).
     """
     allowed = {r["query_id"]: set(r["document_ids"]) for r in shipped if r["document_ids"]}
-    groups = [
-        (branch, user, [r for r in shipped if r["user_id"] == user and r[column]])
-        for branch, column in limits.items()
-        for user in {r["user_id"] for r in shipped}
-    ]
-    groups = [g for g in groups if g[2]]
+    grouped: dict[tuple, list] = {}
+    for branch, column in limits.items():
+        for r in shipped:
+            if r[column]:
+                width = len(r["dense"]) if branch == "dense" else None
+                grouped.setdefault((branch, r["user_id"], width), []).append(r)
+    groups = [(*key, rows) for key, rows in grouped.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded = [(branch, user, rows, SCORERS[branch][0](rows)) for branch, user, rows in groups]
-        best = {(branch, r["query_id"]): _Best() for branch, _, rows in groups for r in rows}
+        coded = [(branch, user, width, rows, SCORERS[branch][0](rows)) for branch, user, width, rows in groups]
+        best = {(branch, r["query_id"]): _Best() for branch, _, _, rows in groups for r in rows}
+        widths = {width for _, _, width, _ in groups if width is not None}
         for whole in batches:
             for lo in range(0, whole.num_rows, BLOCK):
                 block = whole.slice(lo, BLOCK)
                 owner = np.array(block.column("user_id").to_pylist(), dtype=object)
+                size = pc.list_value_length(block.column("dense")).fill_null(0).to_numpy(zero_copy_only=False) if widths else None
                 slices: dict = {}
-                for branch, user, rows, code in coded:
-                    if user not in slices:
-                        mine = np.flatnonzero(owner == user)
+                for branch, user, width, rows, code in coded:
+                    if (user, width) not in slices:
+                        mine = np.flatnonzero(owner == user if width is None else (owner == user) & (size == width))
                         part = block.take(pa.array(mine))
-                        slices[user] = (part, part.column("chunk_id").to_pylist(), part.column("document_id").to_pylist())
-                    part, ids, docs = slices[user]
+                        slices[user, width] = (part, part.column("chunk_id").to_pylist(), part.column("document_id").to_pylist())
+                    part, ids, docs = slices[user, width]
                     if not part.num_rows:
                         continue
                     scores = SCORERS[branch][1](part, code)
@@ -192,8 +196,10 @@ def search(queries: DataFrame, index: DataFrame, limits: dict[str, Column | int]
             *[index.schema[c] for c in payload],
         ]
     )
-    # The count decides how many scans are needed, so one shipped batch never exceeds its bound.
+    # One slice of questions is on the driver at a time: its result is written before the next is read.
     slices = max(1, -(-encoded.count() // batch))
+    if slices > 1:
+        encoded = cut_lineage(encoded)
     rows = index.select("chunk_id", *payload, *limits)
     parts = []
     for i in range(slices):
@@ -201,14 +207,9 @@ def search(queries: DataFrame, index: DataFrame, limits: dict[str, Column | int]
         shipped = [r.asDict(recursive=True) for r in piece.collect()]
         if not shipped:
             continue
-        users = sorted({r["user_id"] for r in shipped}, key=str)
-        scanned = rows.filter(F.col("user_id").isin(users)) if len(users) <= 200 else rows
-        if "dense" in limits:
-            width = max(len(r["dense"]) for r in shipped)
-            scanned = scanned.filter(F.size("dense") == width)
-            for r in shipped:
-                r[columns["dense"]] *= len(r["dense"]) == width
-        parts.append(scanned.mapInArrow(_scan(shipped, columns, payload, to_arrow_schema(schema)), schema))
+        scanned = rows.join(piece.select("user_id").distinct(), "user_id", "left_semi").select("chunk_id", *payload, *limits)
+        found = scanned.mapInArrow(_scan(shipped, columns, payload, to_arrow_schema(schema)), schema)
+        parts.append(found if slices == 1 else cut_lineage(found))
     found = reduce(DataFrame.unionByName, parts) if parts else index.sparkSession.createDataFrame([], schema)
     most = encoded.select("query_id", *columns.values())
     # A task returns at most k rows per question, so the merge below sees k rows per question and task.

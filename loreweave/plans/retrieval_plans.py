@@ -344,8 +344,10 @@ def _expected(t):
         F.split(c, " "),
         lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: run(w, i))),
     )
-    docs = t.raw("documents").select(F.col("doc_id").cast("string").alias("document_id"), "text", F.explode(runs(F.col("text"))).alias("run"))
-    return docs.join(keyed, "run").filter(F.contains("text", F.col("item"))).select("query_id", "document_id").distinct()
+    whole = t.raw("documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    marks = whole.select("document_id", F.explode(runs(F.col("text"))).alias("run"))
+    met = marks.join(keyed, "run").select("query_id", "item", "document_id").distinct()
+    return met.join(whole, "document_id").filter(F.contains("text", F.col("item"))).select("query_id", "document_id").distinct()
 
 
 def _keywords(c):

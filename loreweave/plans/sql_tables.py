@@ -32,9 +32,9 @@ WHERE tok <> ''
 
 table("questions", """
 SELECT item_id AS query_id,
-  CASE WHEN item_id % 5 = 3 THEN 'fr' WHEN item_id % 5 = 4 THEN 'de' WHEN item_id % 7 = 2 THEN 'es' ELSE 'en' END AS user_id,
-  CASE WHEN item_id % 10 = 9 THEN '?!' ELSE text END AS query
-FROM benchmark
+  CASE WHEN of % 5 = 3 THEN 'fr' WHEN of % 5 = 4 THEN 'de' WHEN of % 7 = 2 THEN 'es' ELSE 'en' END AS user_id,
+  query
+FROM (SELECT item_id, item_id AS of, text AS query FROM benchmark UNION ALL SELECT item_id + 1000000, item_id, '?!' FROM benchmark WHERE item_id % 10 = 9)
 """)
 
 table("question_tokens", r"""
@@ -178,13 +178,14 @@ SELECT CAST(conv_id % 10 AS VARCHAR) AS user_id, conv_id AS chat_id,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) AS created_at, TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) AS updated_at
 FROM (SELECT conv_id, arg_max(text, turn) AS last,
         trim(regexp_replace(coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), ''), '\s+', ' ', 'g')) AS t
-      FROM conversations GROUP BY 1)
+      FROM conversations GROUP BY 1
+      UNION ALL SELECT DISTINCT conv_id + 1000000, NULL, '' FROM conversations WHERE conv_id % 9 = 8)
 """)
 
 table("messages", """
 SELECT conv_id AS chat_id, turn AS seq, role, text AS content,
   CASE WHEN role = 'assistant' THEN [CAST(turn AS VARCHAR)] END AS citations
-FROM conversations WHERE conv_id % 9 <> 8
+FROM conversations
 """)
 
 table("web", r"""
@@ -215,7 +216,7 @@ FROM (SELECT answer_id, max(user_id) AS u, max(day) AS d FROM ev GROUP BY 1)
 table("claims", """
 SELECT answer_id, event_id AS pos, event_type || ' ' || CAST(CAST(value AS DECIMAL(20, 2)) AS VARCHAR) AS text,
   CASE WHEN event_type IN ('purchase', 'view') THEN 'supported' WHEN event_type = 'click' THEN 'uncertain' ELSE 'unsupported' END AS support
-FROM ev WHERE event_type <> 'signup'
+FROM ev
 """, ("ev",))
 
 table("scored", """

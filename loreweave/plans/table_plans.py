@@ -58,8 +58,9 @@ def s3(t):
 S4 = r"""
 WITH lines AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS document_id, unnest(range(0, len(string_split(text, E'\n')))) AS pos, unnest(string_split(text, E'\n')) AS line FROM documents),
 part AS (
-  SELECT document_id, pos AS g, CASE pos WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 0 END AS r, pos AS o, CASE pos WHEN 0 THEN E'--- OCR text ---\n' WHEN 1 THEN E'--- Visual description ---\n' ELSE E'--- Audio transcript ---\n' END || trim(line) AS t
-    FROM lines WHERE doc_id % 4 = 0 AND pos < 3 AND trim(line) <> ''
+  SELECT document_id, pos % 3 AS g, CASE pos % 3 WHEN 1 THEN 1 ELSE 0 END AS r, min(pos) AS o,
+    CASE pos % 3 WHEN 0 THEN E'--- OCR text ---\n' WHEN 1 THEN E'--- Visual description ---\n' ELSE E'--- Audio transcript ---\n' END || string_agg(trim(line), E'\n' ORDER BY pos) AS t
+    FROM lines WHERE doc_id % 4 = 0 AND trim(line) <> '' GROUP BY document_id, pos % 3
   UNION ALL SELECT document_id, pos, 0, pos, '--- page ' || (pos + 1) || E' ---\n' || line FROM lines WHERE doc_id % 4 = 1 AND trim(line) <> ''
   UNION ALL SELECT document_id, pos // 3, 0, pos // 3, '--- slide ' || (pos // 3 + 1) || E' ---\n' || string_agg(CASE WHEN pos % 3 = 2 THEN E'[speaker notes]\n' || trim(line) ELSE trim(line) END, E'\n' ORDER BY pos) FROM lines WHERE doc_id % 4 = 2 AND trim(line) <> '' GROUP BY document_id, pos // 3
   UNION ALL SELECT document_id, pos, 0, pos, CASE WHEN pos % 2 = 1 THEN array_to_string(list_filter(list_transform(string_split(line, '. '), lambda c: trim(c)), lambda c: c <> ''), ' | ') ELSE trim(line) END FROM lines WHERE doc_id % 4 = 3 AND trim(line) <> '')

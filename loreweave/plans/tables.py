@@ -12,6 +12,7 @@ from loreweave.operators.index import build_index
 from loreweave.session import cut_lineage
 
 PASSAGE = 400
+BARE = 1_000_000  # added to the id of a row that stands for an edge case
 SPREAD_BY = {"documents": "doc_id", "lineitem": "l_orderkey", "pages": "page_id"}
 
 
@@ -71,8 +72,7 @@ class Tables:
             F.when(slide, F.floor(F.col("pos") / 3)).otherwise(F.col("pos")).cast("int").alias("_o"),
             F.col("pos").cast("int").alias("position"), "text", F.split("text", r"\. ").alias("cells"),
         )
-        media = (F.col("doc_id") % 4 == 0) & (F.col("position") > 2)
-        return rows.filter(~media).withColumn("ordinal", F.col("_o") + 1).drop("_o", "doc_id")
+        return rows.withColumn("ordinal", F.col("_o") + 1).drop("_o", "doc_id")
 
     @cached_property
     def marked(self) -> DataFrame:
@@ -87,11 +87,11 @@ class Tables:
     def passages(self) -> DataFrame:
         """Plain consecutive windows of whole documents: a chunk table SQL can rebuild quickly."""
         n = F.greatest(F.lit(1), F.ceil(F.length("text") / PASSAGE)).cast("int")
-        rows = self.raw("documents").select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
+        windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * PASSAGE + 1, F.lit(PASSAGE)))
+        rows = self.raw("documents").select("lang", "doc_id", F.posexplode(windows).alias("chunk_index", "text"))
         return rows.select(
             F.col("lang").alias("user_id"), F.col("doc_id").cast("string").alias("document_id"),
-            F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), "chunk_index",
-            F.substring(F.col("text"), F.col("chunk_index") * PASSAGE + 1, F.lit(PASSAGE)).alias("text"),
+            F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), "chunk_index", "text",
         )
 
     @cached_property
@@ -100,12 +100,12 @@ class Tables:
 
     @cached_property
     def questions(self) -> DataFrame:
-        """Benchmark texts as questions; every tenth is punctuation only and has no lexical terms."""
+        """Benchmark texts as questions, and for every tenth another one of punctuation only, which has no lexical terms."""
         i = F.col("item_id")
         user = F.when(i % 5 == 3, "fr").when(i % 5 == 4, "de").when(i % 7 == 2, "es").otherwise("en")
-        return self.raw("benchmark").select(
-            i.alias("query_id"), user.alias("user_id"), F.when(i % 10 == 9, "?!").otherwise(F.col("text")).alias("query")
-        )
+        b = self.raw("benchmark")
+        bare = b.filter(i % 10 == 9).select((i + BARE).alias("query_id"), user.alias("user_id"), F.lit("?!").alias("query"))
+        return b.select(i.alias("query_id"), user.alias("user_id"), F.col("text").alias("query")).unionByName(bare)
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -204,11 +204,13 @@ class Tables:
 
     @cached_property
     def chats(self) -> DataFrame:
-        """Chats titled by their first user turn; every fourth has a summary, every ninth has no messages."""
+        """Chats titled by their first user turn, every fourth with a summary; and for every ninth another one without messages."""
         m = self.raw("conversations")
         first = m.filter(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
         summary = m.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"))
         c = summary.join(first, "conv_id", "left")
+        empty = c.filter(F.col("conv_id") % 9 == 8).select((F.col("conv_id") + BARE).alias("conv_id"), *[F.lit(None).cast("string").alias(x) for x in ("last", "first")])
+        c = c.unionByName(empty)
         i = F.col("conv_id")
         return c.select(
             (i % 10).cast("string").alias("user_id"), i.alias("chat_id"),
@@ -221,7 +223,7 @@ class Tables:
     @cached_property
     def messages(self) -> DataFrame:
         none = F.lit(None).cast("array<string>")
-        return self.raw("conversations").filter(F.col("conv_id") % 9 != 8).select(
+        return self.raw("conversations").select(
             F.col("conv_id").alias("chat_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"),
             F.when(F.col("role") == "assistant", F.array(F.col("turn").cast("string"))).otherwise(none).alias("citations"),
             none.alias("web_citations"),
@@ -258,6 +260,6 @@ class Tables:
     @cached_property
     def claims(self) -> DataFrame:
         support = F.when(F.col("event_type").isin("purchase", "view"), "supported").when(F.col("event_type") == "click", "uncertain").otherwise("unsupported")
-        return self.events.filter(F.col("event_type") != "signup").select(
+        return self.events.select(
             "answer_id", F.col("event_id").alias("pos"), F.concat(F.col("event_type"), F.lit(" "), F.col("value").cast("decimal(20,2)").cast("string")).alias("text"), support.alias("support")
         )

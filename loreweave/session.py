@@ -47,8 +47,8 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def store_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder and read it back; also its path, for :func:`delete_tables`.
 
     Later plans start from files: nothing upstream is recomputed when an executor is lost or when several
     branches read the result, and the optimiser knows its real size and columns.
@@ -56,7 +56,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` stored and read back; the table stays until :func:`delete_run_tables`."""
+    return store_table(df)[0]
+
+
+def delete_tables(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that no later plan reads."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def delete_run_tables(spark: SparkSession) -> None:
+    """Delete every table that this application stored; call it when its results are written."""
+    delete_tables(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
 
 
 def ship(spark: SparkSession) -> None:

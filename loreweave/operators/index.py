@@ -50,10 +50,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def build_index(chunks: DataFrame, embedder: Embedder | None = None, **bm25: float) -> DataFrame:
-    """Index rows: chunk keys and text, ``dense`` vector, ``sparse`` term weights."""
+    """Index rows: chunk keys, offsets where known and text, ``dense`` vector, ``sparse`` term weights."""
     if "chunk_id" not in chunks.columns:
         chunks = with_chunk_id(chunks)
-    rows = chunks.select("user_id", "document_id", "chunk_id", "chunk_index", "text")
+    offsets = [c for c in ("char_start", "char_end") if c in chunks.columns]
+    rows = chunks.select("user_id", "document_id", "chunk_id", "chunk_index", *offsets, "text")
     return embed(rows, "text", embedder).withColumn("sparse", passage_weights(F.col("text"), **bm25))
 
 

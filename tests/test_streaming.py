@@ -169,3 +169,18 @@ def test_replayed_and_dead_batches(spark, tmp_path):
         ingest.ingest_batch(uploads(spark, [("u", "9", "z.txt", "text/plain", TEXT.encode())]), 1, root, embedder=broken)
     assert ingest.read_index(spark, root).filter("document_id = '9'").count() == 0
     assert ingest.read_documents(spark, root).filter("document_id = '9'").count() == 0
+
+
+def test_failed_graph_step_keeps_documents(spark, tmp_path):
+    def broken(chunks):
+        raise ValueError("model is down")
+
+    root = str(tmp_path / "lake")
+    batch = uploads(spark, [("u", "1", "a.txt", "text/plain", TEXT.encode())])
+    ingest.ingest_batch(batch, 0, root, broken)
+    assert [r["status"] for r in ingest.read_documents(spark, root).collect()] == ["processed"]
+    due = ingest.graph_retries(spark, root).collect()
+    assert [(r["attempts"], r["entities"], r["retry"]) for r in due] == [(1, 0, True)]
+    assert "model is down" in spark.read.parquet(f"{root}/graph_runs").first()["error"]
+    index = ingest.read_index(spark, root)
+    assert {"char_start", "char_end"} <= set(index.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.llm.common import mix64, runs, store
-from loreweave.llm.components import components
+from loreweave.operators.components import components
 
 ROWS, BANDS = 5, 26  # a pair at similarity 0.85 shares no band with probability (1 - 0.85^5)^26 = 2e-7
 BATCH, BATCHES = 32, 4  # hashes compared at a time, and how many times at most
@@ -178,7 +178,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: int) -> bool:
 
 def _meet(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Links of each group that join what isn't joined yet. Members with ``role`` 1 meet those with role 0 and each other;
-    members of role 0 meet each other only in groups of which all have role 0."""
+    members of role 0 meet each other only in groups of which all have role 0. Every member is hung on the root of its tree."""
     for group in runs(batches, "group"):
         ids, role, part = (group.column(c).to_numpy() for c in ("id", "role", "part"))
         if len(ids) < 2:
@@ -190,11 +190,11 @@ def _meet(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         keep = part[i] != part[j]
         if role.any():
             keep &= (role[i] == 1) | (role[j] == 1)
-        out = []
         for x, y in survivors(sets, np.stack([i[keep], j[keep]], axis=1), least):
             if forest.root(x) != forest.root(y) and similar(sets[x], sets[y], least):
                 forest.join(x, y)
-                out.append((int(ids[x]), int(ids[y])))
+        tree = [(int(ids[i]), int(ids[forest.root(i)])) for i in range(len(ids))]
+        out = [p for p in tree if p[0] != p[1]]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -243,8 +243,8 @@ def find(
     linked, _ = store(components(links))
     hot = held.filter(F.col("blocks") > 1)
     if not hot.isEmpty():
-        links = links.unionByName(_rest(hot, linked, sets, least, group))
-        linked, _ = store(components(links))
+        known = linked.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        linked, _ = store(components(known.unionByName(_rest(hot, linked, sets, least, group))))
     rep = classes.join(linked, F.col("_rep") == F.col("id"), "left")
     answer, _ = store(
         rep.filter((F.col("_copies") > 1) | F.col("component").isNotNull())

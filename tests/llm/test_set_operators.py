@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loreweave.llm import ann, chat_format, components, lattice_dedup, minhash_dedup, mixing, queries
+from loreweave.llm import ann, chat_format, lattice_dedup, minhash_dedup, mixing, queries
+from loreweave.operators import components
 
 SF = "/root/testdata/sf0.01"
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: What a candidate looks like, by kind; the first kind that matches at a place counts.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}\b",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}\b",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "ipv4": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\b\d{3}[ .-])\d{3}[ .-]\d{4}\b",
@@ -27,6 +27,7 @@ PATTERNS = {
     "card": r"\b\d(?:[ -]?\d){12,18}\b",
 }
 PATTERN = "|".join(PATTERNS.values())
+NEEDED = "[0-9@]|AKIA"  # every candidate holds one of these, so texts without any are not searched
 EPOCH, DAYS = "1900-01-01", 270  # dates are permuted within blocks of 270 * 270 days from the epoch
 FIRST_YEAR, LAST_YEAR = 1900, 2099
 
@@ -185,7 +186,8 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     text = F.col("_text")
-    cut = rows.withColumn("_found", F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)))
+    searched = F.when(text.rlike(NEEDED), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)))
+    cut = rows.withColumn("_found", F.coalesce(searched, F.array().cast("array<string>")))
     cut = cut.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(text, PATTERN, -1)))
     made = cut.withColumn("_new", F.transform("_found", lambda m: _pseudonym(m, key)))
     n = F.size("_found")

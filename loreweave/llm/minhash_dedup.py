@@ -30,6 +30,7 @@ ROWS, BANDS = 5, 26  # a pair at similarity 0.85 shares no band with probability
 BATCH, BATCHES = 32, 4  # hashes compared at a time, and how many times at most
 MISS = 1e-7  # posterior probability of being similar enough at which a pair is given up
 GROUP = 256  # members that meet at once
+SLOTS = 1 << 20  # of the broadcast table that thins texts
 _ORDER = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -124,9 +125,18 @@ def _profile(batches: Iterable[pa.RecordBatch], size: int, rows: int, bands: int
 
 
 def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(t.as_py(), size).tobytes() for t in batch.column("_text")]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())], names=["id", "set"])
+    """The shingle set of each document, once for each of its groups."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 64):
+            batch = whole.slice(at, 64)
+            sets = pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column("_text")], pa.binary())
+            groups = batch.column("groups")
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), groups.value_lengths().to_numpy(zero_copy_only=False)))
+            flat = groups.flatten()
+            yield pa.RecordBatch.from_arrays(
+                [flat.field("group"), batch.column("id").take(rows), flat.field("role"), flat.field("part"), sets.take(rows)],
+                names=["group", "id", "role", "part", "set"],
+            )
 
 
 class Forest:
@@ -199,10 +209,19 @@ def _meet(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _links(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Links of ``members`` (id, group, role, part): each member brings its set to its groups."""
+def _links(members: DataFrame, text: DataFrame, shingle: int, least: int) -> DataFrame:
+    """Links of ``members`` (id, group, role, part); their sets are made from ``text`` (_id, _text) again.
+
+    Texts are first thinned where they are read, by a table of at most ``SLOTS`` hash values of the ids wanted, so that hardly
+    more than the members' texts are shuffled.
+    """
     n = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = members.join(sets, "id").select("group", "id", "role", "part", "set")
+    wanted, _ = store(members.groupBy("id").agg(F.collect_list(F.struct("group", "role", "part")).alias("groups")))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = F.broadcast(wanted.select(slot("id").alias("_slot")).distinct())
+    near = text.join(slots, slot("_id") == F.col("_slot"), "left_semi")
+    schema = "group long, id long, role int, part long, set binary"
+    rows = near.join(wanted, F.col("_id") == F.col("id")).select("id", "_text", "groups").mapInArrow(lambda it: _sets(it, shingle), schema)
     meet: Callable = lambda it: _meet(it, least)
     found, _ = store(rows.repartition(n, "group").sortWithinPartitions("group", "id", "role").mapInArrow(meet, "a long, b long"))
     return found
@@ -235,16 +254,13 @@ def find(
     held, _ = store(banded.join(chosen, F.col("key") == F.col("bucket")).select("bucket", "size", "id"))
     blocks = F.ceil(F.col("size") / group)
     held = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks))
-    wanted = held.select(F.col("id").alias("_want")).distinct()
-    sets_of = text.join(wanted, F.col("_id") == F.col("_want")).select("_id", "_text").mapInArrow(lambda it: _sets(it, shingle), "id long, set binary")
-    sets, _ = store(sets_of)
     alone = held.select("id", F.xxhash64("bucket", "block").alias("group"), F.lit(0).alias("role"), F.col("id").alias("part"))
-    links = _links(alone, sets, least)
+    links = _links(alone, text, shingle, least)
     linked, _ = store(components(links))
     hot = held.filter(F.col("blocks") > 1)
     if not hot.isEmpty():
         known = linked.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        linked, _ = store(components(known.unionByName(_rest(hot, linked, sets, least, group))))
+        linked, _ = store(components(known.unionByName(_rest(hot, linked, text, shingle, least, group))))
     rep = classes.join(linked, F.col("_rep") == F.col("id"), "left")
     answer, _ = store(
         rep.filter((F.col("_copies") > 1) | F.col("component").isNotNull())
@@ -256,7 +272,7 @@ def find(
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), (F.col("_id") == component).alias("kept"))
 
 
-def _rest(hot: DataFrame, linked: DataFrame, sets: DataFrame, least: int, group: int) -> DataFrame:
+def _rest(hot: DataFrame, linked: DataFrame, text: DataFrame, shingle: int, least: int, group: int) -> DataFrame:
     """Links of large buckets between what lies outside a bucket's main component and everything in the bucket."""
     part = hot.join(linked, "id", "left").withColumn("part", F.coalesce("component", "id"))
     placed, _ = store(part.select("bucket", "blocks", "block", "id", "part"))
@@ -271,7 +287,7 @@ def _rest(hot: DataFrame, linked: DataFrame, sets: DataFrame, least: int, group:
         "bucket", "id", "part", F.lit(1).alias("role"), F.explode(every(F.col("blocks"))).alias("i"), F.pmod(F.xxhash64("id", F.lit(8)), sides).alias("j")
     )
     both = home.unionByName(guest).groupBy("bucket", "i", "j", "id", "part").agg(F.max("role").alias("role"))
-    return _links(both.select("id", F.xxhash64("bucket", "i", "j").alias("group"), "role", "part"), sets, least)
+    return _links(both.select("id", F.xxhash64("bucket", "i", "j").alias("group"), "role", "part"), text, shingle, least)
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -208,10 +208,23 @@ def k10b(t):
     return gs.backfill_name_keys(rows)[0].select("user_id", "name", "name_lower")
 
 
-@plan("k11_backfill_embeddings")
+@plan("k11_backfill_embeddings", r"""
+WITH words AS (
+  SELECT user_id, name_lower, unnest(string_split_regex(lower(name || CASE WHEN coalesce(description, '') <> '' THEN ': ' || description ELSE '' END), '[^\p{L}\p{N}]+')) AS tok FROM entities),
+slots AS (
+  SELECT user_id, name_lower, slot, c / sqrt(sum(c * c) OVER (PARTITION BY user_id, name_lower)) AS v FROM (
+    SELECT user_id, name_lower, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64 AS slot, CAST(count(*) AS DOUBLE) AS c FROM words WHERE tok <> '' GROUP BY 1, 2, 3))
+SELECT user_id, name_lower, CAST(count(*) AS BIGINT) AS slots, round(sum(v), 6) AS total, round(sum(v * slot), 6) AS moment, min(n) AS backfilled
+FROM slots JOIN (SELECT user_id, count(*) AS n FROM entities GROUP BY 1) USING (user_id) GROUP BY 1, 2
+""", ("entities",))
 def k11(t):
     filled, counts = gs.backfill_embeddings(t.entities)
-    return filled.groupBy("user_id").agg(F.count("embedding").alias("with_vector")).join(counts, "user_id")
+    plus = lambda a, x: a + x
+    at = F.transform("embedding", lambda x, i: F.when(x != 0, x * i).otherwise(0.0))
+    return filled.join(counts, "user_id").select(
+        "user_id", "name_lower", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("slots"),
+        F.round(F.aggregate("embedding", F.lit(0.0), plus), 6).alias("total"), F.round(F.aggregate(at, F.lit(0.0), plus), 6).alias("moment"), "backfilled",
+    )
 
 
 # Question texts: what a customer bought, in one order.

@@ -350,11 +350,31 @@ def t3(t):
 
 
 def attempts(t):
-    e = t.raw("events").filter(F.col("event_type").isin("error", "signup"))
-    return e.select(F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("@Example.com")).alias("email"), "ts", (F.col("event_type") == "signup").alias("success"))
-
-
-@plan("t4_login_lockout")
+    """Errors are wrong passwords, signups right ones, purchases right ones of accounts that are not verified."""
+    e = t.raw("events").filter(F.col("event_type").isin("error", "signup", "purchase"))
+    success = F.when(F.col("event_type") != "purchase", F.col("event_type") == "signup")
+    return e.select(F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("@Example.com")).alias("email"), "ts", success.alias("success"))
+
+
+@plan("t4_login_lockout", """
+WITH RECURSIVE tries AS (
+  SELECT 'u' || user_id || '@example.com' AS email, ts, epoch_us(ts) AS moment, CASE event_type WHEN 'signup' THEN TRUE WHEN 'error' THEN FALSE END AS success,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END) AS n
+  FROM events WHERE event_type IN ('error', 'signup', 'purchase')),
+walk AS (
+  SELECT email, ts, success, n, CASE WHEN success IS NULL THEN 'unverified' WHEN success THEN 'ok' ELSE 'failed' END AS outcome,
+    CASE WHEN success IS FALSE THEN 1 ELSE 0 END AS failures, CASE WHEN success IS FALSE THEN moment ELSE 0 END AS opened, CAST(0 AS BIGINT) AS retry_after
+  FROM tries WHERE n = 1
+  UNION ALL
+  SELECT email, ts, success, n,
+    CASE WHEN live >= 5 THEN 'locked' WHEN success IS NULL THEN 'unverified' WHEN success THEN 'ok' ELSE 'failed' END,
+    CASE WHEN live >= 5 OR success IS NULL THEN live WHEN success THEN 0 ELSE live + 1 END,
+    CASE WHEN live >= 5 OR success IS NULL THEN opened WHEN success THEN 0 WHEN live > 0 THEN opened ELSE moment END,
+    CASE WHEN live >= 5 THEN greatest(0, (opened + 900000000 - moment + 500000) // 1000000) ELSE 0 END
+  FROM (SELECT t.*, w.opened, CASE WHEN w.failures > 0 AND t.moment >= w.opened + 900000000 THEN 0 ELSE w.failures END AS live
+        FROM walk w JOIN tries t ON t.email = w.email AND t.n = w.n + 1))
+SELECT email, ts, success, outcome, failures, retry_after FROM walk
+""")
 def t4(t):
     return lockout(attempts(t))
 

@@ -1,6 +1,7 @@
 """Login lockout: a failure counter per account that opens with the first failure and expires on its own.
 
-Attempts: ``email, ts, success``. Output adds ``outcome`` (ok, failed, locked), ``failures`` (counter after
+Attempts: ``email, ts, success``; a null ``success`` is the right password of an account that isn't verified yet, which
+neither counts nor clears. Output adds ``outcome`` (ok, failed, unverified, locked), ``failures`` (counter after
 the attempt) and ``retry_after`` seconds.
 """
 
@@ -22,12 +23,14 @@ WINDOW_US = WINDOW * 1_000_000
 OUT = "email string, ts timestamp, success boolean, outcome string, failures int, retry_after long"
 
 
-def advance(count: int, opened: int, at: int, success: bool) -> tuple[int, int, str, int]:
+def advance(count: int, opened: int, at: int, success: bool | None) -> tuple[int, int, str, int]:
     """One attempt at microsecond ``at``: new counter, its opening time, outcome, seconds left."""
     if count and at >= opened + WINDOW_US:
         count = 0
     if count >= THRESHOLD:
         return count, opened, "locked", max(0, (opened + WINDOW_US - at + 500_000) // 1_000_000)
+    if success is None:
+        return count, opened, "unverified", 0
     if success:
         return 0, 0, "ok", 0
     return count + 1, opened if count else at, "failed", 0
@@ -41,7 +44,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for email, run, at, ok in zip(pdf["email"], pdf["run"], pdf["at"], pdf["success"]):
             if (email, run) != key:
                 key, count, opened = (email, run), 0, 0
-            count, opened, what, wait = advance(count, opened, int(at), bool(ok))
+            count, opened, what, wait = advance(count, opened, int(at), None if pd.isna(ok) else bool(ok))
             outcome.append(what)
             failures.append(count)
             left.append(wait)
@@ -57,7 +60,7 @@ def lockout(attempts: DataFrame) -> DataFrame:
     gaps = neighbour(rows, ["email"], "at", {"before": "at"}, block=day, following=False)
     opens = F.when(F.col("before").isNull() | (F.col("at") - F.col("before") >= WINDOW_US), F.col("at"))
     runs = carry_forward(gaps.withColumn("run", opens), ["email"], "at", "run", block=day)
-    ordered = runs.repartition("email", "run").sortWithinPartitions("email", "run", "at", "success")
+    ordered = runs.repartition("email", "run").sortWithinPartitions("email", "run", "at", F.col("success").asc_nulls_last())
     return ordered.select("email", "ts", "success", "at", "run").mapInPandas(_walk, OUT)
 
 
@@ -70,7 +73,7 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
     rows = pd.concat(list(frames)).sort_values(["at", "success"], kind="stable")
     outcome, failures, left = [], [], []
     for at, ok in zip(rows["at"], rows["success"]):
-        count, opened, what, wait = advance(count, opened, int(at), bool(ok))
+        count, opened, what, wait = advance(count, opened, int(at), None if pd.isna(ok) else bool(ok))
         outcome.append(what)
         failures.append(count)
         left.append(wait)

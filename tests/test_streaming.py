@@ -171,6 +171,14 @@ def test_replayed_and_dead_batches(spark, tmp_path):
     assert ingest.read_documents(spark, root).filter("document_id = '9'").count() == 0
 
 
+def test_unverified_attempt_neither_counts_nor_clears():
+    count, opened = 0, 0
+    for at, ok in enumerate([False, None, False, None]):
+        count, opened, what, _ = advance(count, opened, at, ok)
+        assert what == ("unverified" if ok is None else "failed")
+    assert (count, opened) == (2, 0)
+
+
 def test_failed_graph_step_keeps_documents(spark, tmp_path):
     def broken(chunks):
         raise ValueError("model is down")

@@ -19,6 +19,7 @@ from loreweave.plans.retrieval_plans import snippet_sql
 from loreweave.session import shared_folder
 from loreweave.sources import files as fl
 from loreweave.sources import intake as ik
+from loreweave.streaming import ingest
 from loreweave.streaming.lockout import lockout
 
 MIMES = ", ".join(f"'{m}'" for m in ik.ALLOWED_MIME)
@@ -32,6 +33,23 @@ def s1(t):
     return ik.intake(t.docs).select("document_id", "accepted", "reject_reason")
 
 
+@plan("t1_incremental_ingest", f"""
+SELECT document_id, CASE WHEN reason IS NULL THEN 'processed' ELSE 'failed' END AS status, reason AS error_message,
+  CASE WHEN reason IS NULL THEN md5(extracted_text) END AS text_md5, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 2 END AS batch
+FROM (SELECT *, CASE WHEN m NOT IN ({MIMES}) THEN 'unsupported type' WHEN extracted_text = '' THEN 'empty file'
+        WHEN NOT starts_with(m, 'text/') THEN 'Unsupported MIME for OCR: ''' || m || '''' END AS reason
+      FROM (SELECT *, lower(trim(split_part(content_type, ';', 1))) AS m FROM docs))
+""", ("docs",))
+def t1(t):
+    """Two micro-batches through the ingest: even documents, then odd ones and every third again."""
+    root = scratch(t, "ingest")
+    files = t.docs.select("doc_id", "user_id", "document_id", F.col("raw_filename").alias("filename"), "content_type", F.encode("extracted_text", "UTF-8").alias("content"))
+    for number, part in enumerate(("doc_id % 2 = 0", "doc_id % 2 = 1 OR doc_id % 3 = 0")):
+        ingest.ingest_batch(files.filter(part).drop("doc_id"), number, root)
+    held = t.spark.read.parquet(f"{root}/documents").groupBy("document_id").agg(F.max("batch_id").cast("long").alias("batch"))
+    return ingest.read_documents(t.spark, root).join(held, "document_id").select("document_id", "status", "error_message", F.md5("extracted_text").alias("text_md5"), "batch")
+
+
 @plan("s2_filename_sanitising", r"""
 SELECT doc_id, v, coalesce(nullif(trim(regexp_replace(regexp_replace(trim(regexp_extract(replace(n, '\', '/'), '[^/]*$')), '[^A-Za-z0-9._-]+', '_', 'g'), '\.{2,}', '.', 'g'), '._-'), ''), 'upload') AS safe FROM (
   SELECT doc_id, unnest([raw_filename, 'C:\dir\' || filename, '  .' || doc_id || '..' || user_id || '-_', '../../', 'résumé ' || doc_id || ' (1).PDF', NULL]) AS n, unnest(range(0, 6)) AS v FROM docs)

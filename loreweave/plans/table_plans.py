@@ -16,6 +16,7 @@ from loreweave.operators.retrieval import web_citations
 from loreweave.plans.extraction_plans import wrap
 from loreweave.plans.registry import plan, table
 from loreweave.plans.retrieval_plans import snippet_sql
+from loreweave.plans.tables import BARE
 from loreweave.session import shared_folder
 from loreweave.sources import files as fl
 from loreweave.sources import intake as ik
@@ -311,6 +312,8 @@ def h6b(t):
 @plan("h7_placeholder_title", "SELECT chat_id, title FROM chats", ("chats",))
 def h7(t):
     firsts = t.raw("conversations").groupBy(F.col("conv_id").alias("chat_id")).agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("query"))
+    empty = firsts.filter(F.col("chat_id") % 9 == 8).select((F.col("chat_id") + BARE).alias("chat_id"), F.lit(None).cast("string").alias("query"))
+    firsts = firsts.unionByName(empty)
     at = F.lit("2024-01-01").cast("timestamp").alias("at")
     return ch.create_chats(firsts.select(F.lit("u").alias("user_id"), "chat_id", F.coalesce("query", F.lit("")).alias("query"), at)).select("chat_id", "title")
 

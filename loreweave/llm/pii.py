@@ -110,14 +110,20 @@ def _card(m: Column, key: str) -> tuple[Column, Column]:
 
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
+    """American numbers are permuted within those of area and exchange from 200, within area codes under 200, and within the rest. An
+    area code under 200 needs a country code or brackets: bare groups like 123-555-1234 are no phone."""
     d = _digits(m)
     head, last = F.substring(d, 1, F.length(d) - 10), F.substring(d, -10, 10)
     area, office, line = (F.substring(last, *p).cast("long") for p in ((1, 3), (4, 3), (7, 4)))
     new = permute(((area - 200) * 800 + (office - 200)) * 10_000 + line, 80_000, 80_000, key, "phone")
     north = F.concat((F.floor(new / 8_000_000) + 200).cast("string"), (F.floor(new / 10_000) % 800 + 200).cast("string"), _pad(new % 10_000, 4))
+    low_area = _pad(permute(last, 40_000, 50_000, key, "phone area"), 10)
+    new = permute(((area - 200) * 200 + office) * 10_000 + line, 40_000, 40_000, key, "phone office")
+    low_office = F.concat((F.floor(new / 2_000_000) + 200).cast("string"), _pad(F.floor(new / 10_000) % 200, 3), _pad(new % 10_000, 4))
+    american = F.when(area < 200, low_area).when(office < 200, low_office).otherwise(north)
     other = _pad(permute(last, 100_000, 100_000, key, "phone10"), 10)
-    american = head.isin("", "1")
-    return ~american | ((area >= 200) & (office >= 200)), _refill(m, F.concat(head, F.when(american, north).otherwise(other)))
+    marked = m.rlike(r"^\+|\(")
+    return marked | (area >= 200), _refill(m, F.concat(head, F.when(head.isin("", "1"), american).otherwise(other)))
 
 
 def _ssn(m: Column, key: str) -> tuple[Column, Column]:
@@ -139,15 +145,22 @@ def _ipv4(m: Column, key: str) -> tuple[Column, Column]:
 
 
 def _date(m: Column, order: str, key: str) -> tuple[Column, Column]:
+    """With slashes the day comes first where month first is no date, and then in the pseudonym too."""
     d = _digits(m)
     at = {"ymd": ((1, 4), (5, 2), (7, 2)), "mdy": ((5, 4), (1, 2), (3, 2)), "dmy": ((5, 4), (3, 2), (1, 2))}[order]
     year, month, day = (F.substring(d, *p) for p in at)
-    date = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
+    read = lambda x, y: F.try_to_date(F.concat_ws("-", year, x, y), "yyyy-MM-dd")
+    date = first = read(month, day)
+    if order == "mdy":
+        date = F.coalesce(first, read(day, month))
     days = F.datediff(date, F.lit(EPOCH).cast("date")).cast("long")
     block = F.floor(days / (DAYS * DAYS))
     new = F.date_add(F.lit(EPOCH).cast("date"), (block * DAYS * DAYS + permute(days % (DAYS * DAYS), DAYS, DAYS, key, "date")).cast("int"))
-    form = {"ymd": "yyyyMMdd", "mdy": "MMddyyyy", "dmy": "ddMMyyyy"}[order]
-    return date.isNotNull() & year.cast("int").between(FIRST_YEAR, LAST_YEAR), _refill(m, F.date_format(new, form))
+    form = {"ymd": "yyyyMMdd", "mdy": "MMddyyyy", "dmy": "ddMMyyyy"}
+    digits = F.date_format(new, form[order])
+    if order == "mdy":
+        digits = F.when(first.isNotNull(), digits).otherwise(F.date_format(new, form["dmy"]))
+    return date.isNotNull() & year.cast("int").between(FIRST_YEAR, LAST_YEAR), _refill(m, digits)
 
 
 def _email(m: Column, key: str) -> tuple[Column, Column]:

@@ -109,6 +109,31 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert again[8] != card and pii.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_phones_of_any_area_code_and_slash_dates_day_first(spark):
+    texts = ["+1 (017) 555-7713", "(017) 555-7713", "+1 988-155-2485", "988-155-2485", "+1-100-000-0000", "31/12/1987", "1987-12-31", "31/13/1987"]
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert [out[i].n_found for i in range(8)] == [1, 1, 1, 1, 1, 1, 1, 0] and not any(out[i].text == t for i, t in enumerate(texts[:7]))
+    assert out[0].text == "+1 " + out[1].text and out[1].text[1] in "01" and out[2].text == "+1 " + out[3].text and out[3].text[4] in "01"
+    y, m, d = out[6].text.split("-")
+    assert out[5].text == f"{d}/{m}/{y}"
+
+
+def test_no_phone_of_the_given_documents_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(F.col("text").rlike(r"\(\d{3}\) \d{3}-\d{4}"))
+    import corpus_pipeline
+
+    before = {r.doc_id: r.text for r in docs.collect()}
+    hidden = corpus_pipeline.hide_personal_data(spark, docs, "").collect()
+    import re
+
+    seen = 0
+    for r in hidden:
+        phones = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", before[r.doc_id])
+        seen += len(phones)
+        assert not any(p in r.text for p in phones), phones
+    assert seen > 100 and len(hidden) == len(before)
+
+
 @pytest.mark.parametrize("a,b", [(10, 7), (270, 270), (1000, 100)])
 def test_permutation(spark, a, b):
     v = spark.range(a * b).select(pii.permute(F.col("id"), a, b, "k", "x").alias("v"))

@@ -26,7 +26,12 @@ PATTERNS = {
     "dmy": r"\b\d{2}\.\d{2}\.\d{4}\b",
     "card": r"\b\d(?:[ -]?\d){12,18}\b",
 }
-PATTERN = "|".join(PATTERNS.values())
+#: Ways to write a card: unbroken, in fours (and three more), 4-6-5, 4-6-4, 4-3-3-3, 4-4-5.
+CARD_LAYOUT = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}|\d{4}([ -])\d{3}\3\d{3}\3\d{3}|\d{4}([ -])\d{4}\4\d{5})$"
+_NEXT = "(?!" + "|".join([*(PATTERNS[k] for k in ("email", "ipv4", "ssn", "ymd", "mdy", "dmy")), r"[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}\b"]) + ")"
+#: Numbers of 13 digits or more in all, one blank or hyphen apart, up to where a value of another kind begins. Loops are possessive: Java recurses on others.
+RUN = rf"\b(?=\d(?:(?:[ -]{_NEXT})?\d){{12}})\d++\b(?:[ -]{_NEXT}\d++\b)*+"
+PATTERN = "|".join([p for k, p in PATTERNS.items() if k != "card"] + [RUN])
 NEEDED = "[0-9@]|AKIA"  # every candidate holds one of these, so texts without any are not searched
 EPOCH, DAYS = "1900-01-01", 270  # dates are permuted within blocks of 270 * 270 days from the epoch
 FIRST_YEAR, LAST_YEAR = 1900, 2099
@@ -109,6 +114,43 @@ def _card(m: Column, key: str) -> tuple[Column, Column]:
     return _luhn(d) % 10 == 0, _refill(m, F.concat(open_, check))
 
 
+def _pieces(gap: Column, m: Column) -> Column:
+    """Array of gap and candidate; a run of numbers is cut into its cards and what is left between them.
+
+    A card is a layout with right check digit, of overlapping ones the first, or else the whole of what no layout takes.
+    """
+    numbers = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+    piece = lambda t: F.struct(F.regexp_extract(t, "^[ -]?", 0).alias("gap"), F.regexp_replace(t, "^[ -]", "").alias("m"))
+
+    def end(rest: Column) -> Column:
+        """How many numbers of ``rest`` make a card, 0 if none do."""
+        text = lambda n: F.regexp_replace(F.array_join(F.slice(rest, F.lit(1), n), ""), "^[ -]", "")
+        right = F.filter(
+            F.sequence(F.lit(1), F.least(F.size(rest), F.lit(5))), lambda n: F.when(text(n).rlike(CARD_LAYOUT), _luhn(_digits(text(n))) % 10 == 0).otherwise(False)
+        )
+        return F.coalesce(F.try_element_at(right, F.lit(1)), F.lit(0))
+
+    state = lambda done, left, skip: F.struct(done.alias("done"), left.alias("left"), skip.cast("int").alias("skip"))
+    flush = lambda s: F.when(s["left"] == "", s["done"]).otherwise(F.array_append(s["done"], s["left"]))
+
+    def step(s: Column, i: Column, numbers: Column) -> Column:
+        rest = F.slice(numbers, i, 5)
+        n = end(rest)
+        card = F.array_append(flush(s), F.array_join(F.slice(rest, F.lit(1), n), ""))
+        return (
+            F.when(s["skip"] > 0, state(s["done"], s["left"], s["skip"] - 1))
+            .when(n > 0, state(card, F.lit(""), n - 1))
+            .otherwise(state(s["done"], F.concat(s["left"], F.element_at(numbers, i)), F.lit(0)))
+        )
+
+    empty = state(F.array().cast("array<string>"), F.lit(""), F.lit(0))
+    scan = lambda ns: F.aggregate(F.sequence(F.lit(1), F.size(ns)), empty, lambda s, i: step(s, i, ns), flush)
+    cut = F.element_at(F.transform(F.array(numbers), scan), 1)  # bound by a lambda, so that the numbers are taken apart once
+    parts = F.transform(cut, lambda t, i: F.struct(F.when(i == 0, gap).otherwise(piece(t)["gap"]).alias("gap"), piece(t)["m"].alias("m")))
+    whole = F.array(F.struct(gap.alias("gap"), m.alias("m")))
+    return F.when((F.length(m) > 13) & m.rlike("^[0-9][0-9 -]+$") & m.rlike("[ -]"), parts).otherwise(whole)
+
+
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
     """American numbers are permuted within those of area and exchange from 200, within area codes under 200, and within the rest. An
     area code under 200 needs a country code or brackets: bare groups like 123-555-1234 are no phone."""
@@ -192,7 +234,7 @@ def _pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, text with pseudonyms, spans, n_found, and the columns ``keep``.
 
-    ``spans`` lists the candidates in order: kind (null if not valid and left alone), ``skip`` (characters since the end
+    ``spans`` lists the candidates in order, numbers beside a card too: kind (null if not valid and left alone), ``skip`` (characters since the end
     of the one before), and ``length`` in the text given. Null texts give null and no spans; texts without candidates come back as
     they are. Null ids and repeated rows stay, an empty table gives none, and other columns are ignored whatever their
     names. The same key gives the same pseudonyms everywhere; keep it secret, as it undoes them.
@@ -202,14 +244,13 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     searched = F.when(text.rlike(NEEDED), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)))
     cut = rows.withColumn("_found", F.coalesce(searched, F.array().cast("array<string>")))
     cut = cut.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(text, PATTERN, -1)))
-    made = cut.withColumn("_new", F.transform("_found", lambda m: _pseudonym(m, key)))
+    found = F.flatten(F.zip_with(F.slice("_gaps", F.lit(1), F.size("_found")), "_found", _pieces))
+    cut = cut.withColumn("_pieces", F.when(F.size("_found") > 0, found))
+    made = cut.withColumn("_new", F.transform("_pieces", lambda p: _pseudonym(p["m"], key)))
     n = F.size("_found")
-    body = F.zip_with(F.slice("_gaps", F.lit(1), n), "_new", lambda g, r: F.concat(g, r["text"]))
+    body = F.zip_with("_pieces", "_new", lambda p, r: F.concat(p["gap"], r["text"]))
     new_text = F.when(n > 0, F.concat(F.array_join(body, ""), F.element_at("_gaps", -1))).otherwise(text)
-    measured = F.zip_with(
-        F.zip_with(F.slice("_gaps", F.lit(1), n), "_found", lambda g, m: F.struct(F.length(g).alias("skip"), F.length(m).alias("length"))),
-        "_new", lambda s, r: F.struct(r["kind"].alias("kind"), s["skip"].alias("skip"), s["length"].alias("length")),
-    )
+    measured = F.zip_with("_pieces", "_new", lambda p, r: F.struct(r["kind"].alias("kind"), F.length(p["gap"]).alias("skip"), F.length(p["m"]).alias("length")))
     empty = F.array().cast("array<struct<kind:string,skip:int,length:int>>")
     done = made.withColumn("spans", F.when(n > 0, measured).otherwise(empty))
     return done.select(

@@ -118,6 +118,30 @@ def test_phones_of_any_area_code_and_slash_dates_day_first(spark):
     assert out[5].text == f"{d}/{m}/{y}"
 
 
+def test_cards_beside_other_numbers(spark):
+    import re
+
+    card, spaced, amex = "4111111111111111", "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [f"{card} {m:02d}/26" for m in range(1, 13)] + [f"{spaced} {c:03d}" for c in range(0, 1000, 37)]
+    texts += [f"item 12 {card}", f"1234 {spaced}", f"{spaced} {spaced}-{card} 7", f"{amex} 1234", f"pay {card} 02/28/1987", f"{card} 988-555-2485", f"123 988-555-2485 {card}"]
+    texts += [f"12 {card} 192.168.0.1 99 77@xyz.org", "1 " * 5000 + card, "5" * 20_000, "4 111 1111 1111 11 11"]
+    clear = f"{card}|{spaced}|{amex}|988-555|02/28/1987|192.168|77@xyz|^4 111"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    alone = re.sub(r"\D", "", out[0].text.split(" ")[0])
+    for i, t in enumerate(texts):
+        kinds = [s.kind for s in out[i].spans if s.kind]
+        assert not re.search(clear, out[i].text) and (len(out[i].text) == len(t) or "192.168" in t), (t[-60:], out[i].text[-60:])
+        if i < 42:  # cards and what stands beside them
+            assert kinds == ["card"] and alone in re.sub(r"\D", "", out[i].text), t
+        at = 0
+        for s in out[i].spans:
+            assert s.kind is None or not re.match("[ -]", t[at + s.skip])
+            at += s.skip + s.length
+            assert s.kind != "card" or luhn(re.sub(r"\D", "", out[i].text[at - s.length : at]))
+    assert [s.kind for s in out[42].spans if s.kind] == ["card"] * 3 and out[42].text.endswith(" 7")
+
+
 def test_no_phone_of_the_given_documents_stays(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(F.col("text").rlike(r"\(\d{3}\) \d{3}-\d{4}"))
     import corpus_pipeline

@@ -1,9 +1,10 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and a comparison with the notice itself.
 
-A paragraph is a line. Its word n-grams go through a sparse multinomial logistic regression over licence families and an
+A paragraph is a run of lines that aren't blank. Each line of it, and each window of lines over which a notice is wrapped, is
+classified: its word n-grams go through a sparse multinomial logistic regression over licence families and an
 unknown class, taught with varied copies of well-known notices, mixtures of their words, and lines of the corpus that match no notice. A
 temperature fitted on held-out copies calibrates the probabilities. A family counts only if a notice of it is also largely
-contained in the paragraph.
+contained in the line or window.
 """
 
 from __future__ import annotations
@@ -82,6 +83,65 @@ def contained(words: list[str], family: str) -> float:
     return best
 
 
+_PAIRS = [frozenset(zip(words, words[1:])) for _, words in _NOTICE_WORDS]
+
+
+def paragraphs(text: str) -> Iterator[list[tuple[int, str, list[str]]]]:
+    """Runs of lines that aren't blank, each line with its place and words."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line.strip():
+            out.append((at, line, _words(line)))
+        elif out:
+            yield out
+            out = []
+        at += len(line) + 1
+    if out:
+        yield out
+
+
+def wrapped(lines: list[list[str]]) -> list[tuple[int, int]]:
+    """First and last line of each window of two lines or more over which a notice stands that none of its lines holds alone.
+
+    A window has no room inside for more words than the notice has. Of overlapping windows of one notice the fullest counts,
+    then the shortest.
+    """
+    if len(lines) < 2:
+        return []
+    flat = [(w, i) for i, words in enumerate(lines) for w in words]
+    pairs = [((a, b), i, j) for (a, i), (b, j) in zip(flat, flat[1:])]  # with the lines of both words
+    seen = {p for p, _, _ in pairs}
+    out: set[tuple[int, int]] = set()
+    for (_, notice), wanted in zip(_NOTICE_WORDS, _PAIRS):
+        least = CONTAINED * len(wanted)
+        if len(wanted & seen) < least:
+            continue
+        hits = [h for h in pairs if h[0] in wanted]
+        found = []
+        for k, (_, first, _) in enumerate(hits):
+            if k and hits[k - 1][1] == first:
+                continue
+            have: set[tuple[str, str]] = set()
+            room, upto = len(notice), first
+            for pair, _, last in hits[k:]:
+                while upto < last:  # lines between the first and the last are inside
+                    room -= len(lines[upto]) if upto > first else 0
+                    upto += 1
+                if room < 0:
+                    break
+                if pair not in have:
+                    have.add(pair)
+                    if len(have) >= least:
+                        found.append((-len(have), last - first, first, last))
+        taken: list[tuple[int, int]] = []
+        for _, _, i, j in sorted(found):
+            if all(j < a or b < i for a, b in taken):
+                taken.append((i, j))
+        whole = [i for i in {i for a, b in taken for i in range(a, b + 1)} if len(wanted & set(zip(lines[i], lines[i][1:]))) >= least]
+        out |= {(a, b) for a, b in taken if a < b and not any(a <= i <= b for i in whole)}
+    return sorted(out)
+
+
 @dataclass(frozen=True)
 class Model:
     families: tuple[str, ...]
@@ -169,12 +229,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
             ids_, found = [], []
             for i, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
                 some = 0
-                for line in (text or "").split("\n"):
-                    words = _words(line)
-                    if some < per_doc and not anchors.isdisjoint(words) and max(contained(words, f) for f in families) < 0.5:
-                        ids_.append(str(i))
-                        found.append(words[:200])
-                        some += 1
+                for lines_ in paragraphs(text or ""):
+                    apart = {k for a, b in wrapped([w for _, _, w in lines_]) for k in range(a, b + 1)}
+                    for k, (_, _, words) in enumerate(lines_):
+                        if some < per_doc and k not in apart and not anchors.isdisjoint(words) and max(contained(words, f) for f in families) < 0.5:
+                            ids_.append(str(i))
+                            found.append(words[:200])
+                            some += 1
             yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["id", "words"])
 
     got = rows.select("_id", "_text").mapInArrow(lines, "id string, words array<string>").collect()
@@ -182,20 +243,27 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
 
 
 def scan_text(text: str, model: Model, anchors: frozenset[str], sure: float) -> list[dict]:
-    """Paragraphs of a text in which the classifier sees a family with probability ``sure`` or more, or a notice stands."""
+    """Lines of a text in which the classifier sees a family with probability ``sure`` or more, and windows of lines in which it
+    does and a notice stands."""
     low = text.lower()
     if anchors.isdisjoint(_WORD.findall(low)):
         return []
-    out, at = [], 0
-    for line in text.split("\n"):
-        words = _words(line)
+    out = []
+
+    def look(words: list[str], start: int, end: int, only_confirmed: bool) -> None:
         if not anchors.isdisjoint(words):
             family, p = model.predict(words)
             if family != UNKNOWN and p >= sure:
                 part = contained(words, family)
-                out.append(dict(family=family, start=at, end=at + len(line), score=p, contained=part, confirmed=part >= CONTAINED))
-        at += len(line) + 1
-    return out
+                if part >= CONTAINED or not only_confirmed:
+                    out.append(dict(family=family, start=start, end=end, score=p, contained=part, confirmed=part >= CONTAINED))
+
+    for lines in paragraphs(text):
+        for at, line, words in lines:
+            look(words, at, at + len(line), False)
+        for i, j in wrapped([words for _, _, words in lines]):
+            look([w for _, _, words in lines[i : j + 1] for w in words], lines[i][0], lines[j][0] + len(lines[j][1]), True)
+    return sorted(out, key=lambda f: (f["start"], f["end"]))
 
 
 _SPAN = "array<struct<family:string,start:int,end:int,score:double,contained:double,confirmed:boolean>>"
@@ -204,7 +272,7 @@ _SPAN_ARROW = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int32())
 
 def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: id, licence (family of the most probable confirmed paragraph, earliest of equals, else null), score
-    (its probability, else 0), paragraphs (all that the classifier takes for a notice, confirmed or not, with their places).
+    (its probability, else 0), paragraphs (lines that the classifier takes for a notice, confirmed or not, and confirmed windows of lines, with their places).
 
     Null and empty texts have none. Null ids and repeated rows stay, an empty table gives none, other columns are ignored.
     """

@@ -182,6 +182,39 @@ def test_licences(spark, docs):
     assert licenses.scan(docs, model).count() == docs.count() and licenses.scan(docs.limit(0), model).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Ann Example
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD = """Copyright (c) 2020, Ann Example
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    texts, want = [], []
+    for family, text in (("MIT", MIT), ("BSD", BSD)):
+        for width in (30, 70, 72, 76, 80):
+            for mark in ("", "# ", " * "):
+                texts.append("\n".join((mark + line).rstrip() if line else "" for p in text.split("\n") for line in textwrap.wrap(p, width) or [""]))
+                want.append(family)
+    texts += ["Permission is hereby granted, free of charge, to any\n\nperson obtaining a copy of this software", "plain\nwords of\nthis software"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licenses.fit(df)
+    out = {r.doc_id: r for r in licenses.scan(df, model).collect()}
+    assert [out[i].licence for i in range(len(texts))] == [*want, None, None]
+    for i in range(len(want)):
+        held = [texts[i][p.start : p.end] for p in out[i].paragraphs if p.confirmed]
+        assert any(licenses.contained(licenses._words(h), want[i]) == 1 for h in held)
+
+
 def test_licence_classifier_on_held_out_copies():
     import numpy as np
 

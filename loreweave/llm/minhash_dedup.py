@@ -293,8 +293,25 @@ def _rest(hot: DataFrame, linked: DataFrame, text: DataFrame, shingle: int, leas
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are kept: one document of each group, those without links too.
 
-    Rows with a null id are kept. Of rows that repeat an id all or none are kept.
+    A document is an id with a text. Of a group the smallest id is kept, then the one of smallest hash, and one of rows that repeat
+    both; an id with several texts is as many documents. Rows with a null id meet all others, but only make way for each
+    other: one of a group is kept beside the one with an id. Blank texts with a null id are all kept.
     """
-    found = find(docs, id_col=id_col, text_col=text_col, **how)
-    gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    own = F.col(id_col).cast("long")
+    row = F.xxhash64(own.isNull(), own, F.col(text_col))
+    rows = docs.select(row.alias("_row"), own.alias("_own"), F.col(text_col).alias("_body"))
+    found = find(rows, id_col="_row", text_col="_body", **how)
+    groups = found.groupBy("_row").agg(F.min("component_id").alias("_group"), F.min("n_shingles").alias("_n"))
+    names = rows.groupBy("_row").agg(F.min("_own").alias("_own"), F.count(F.lit(1)).alias("_times"))
+    named, _ = store(names.join(groups, "_row"))
+    best = named.groupBy("_group", F.col("_own").isNull()).agg(F.min(F.struct("_own", "_row")).alias("_best"))
+    blank = F.col("_own").isNull() & (F.col("_n") == 0)
+    kept, _ = store(
+        named.join(best.select(F.col("_best._row").alias("_first")), F.col("_row") == F.col("_first"), "left_semi")
+        .select(F.col("_row").alias("_kept"), ((F.col("_times") > 1) & ~blank).alias("_again"))
+    )
+    whole = docs.select(row.alias("_row"), F.struct("*").alias("_doc"))
+    same = F.col("_row") == F.col("_kept")
+    once = whole.join(kept.filter(~F.col("_again")), same, "left_semi").select("_doc.*")
+    again = whole.join(kept.filter("_again"), same, "left_semi").groupBy("_row").agg(F.first("_doc").alias("_doc")).select("_doc.*")
+    return once.unionByName(again)

@@ -195,6 +195,18 @@ def test_minhash_large_buckets_and_odd_rows(spark):
     assert minhash_dedup.find(df.limit(0)).count() == 0
 
 
+def test_keep_first_decides_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, b), (2, b), (3, a), (3, c), (3, c), (None, d), (None, d), (None, d + " e"), (4, ""), (4, ""), (5, ""), (None, " "), (None, " ")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, _row string, _kept string").repartition(4)
+    kept = minhash_dedup.keep_first(df)
+    assert kept.schema.names == df.schema.names
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    one = [x for x in got if x[0] is None and x[1] != " "]
+    assert len(one) == 1 and one[0][1] in (d, d + " e")
+    assert got == Counter({(1, a): 1, (2, b): 1, (3, c): 1, one[0]: 1, (4, ""): 1, (5, ""): 1, (None, " "): 2})
+
+
 def test_fewest_equal_hashes():
     least = minhash_dedup.fewest(0.85, 1e-7, 32, 4)
     assert list(least) == sorted(least) and all(m < 0.85 * 32 * (k + 1) for k, m in enumerate(least))

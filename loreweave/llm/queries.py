@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import ann, chat_format, lattice_dedup, licenses, minhash_dedup, mixing, pii, sentencepiece_codec, token_counts, toxicity
+from loreweave.llm import ann, chat_format, lattice_dedup, licenses, merkle, minhash_dedup, mixing, pii, sentencepiece_codec, token_counts, toxicity
 from loreweave.llm.common import read
+from loreweave.llm.sql import SQL  # noqa: F401
 
 CONTEXT = 2048  # tokens; a longer document is over the limit
 
@@ -81,6 +83,16 @@ def op10_licenses(spark: SparkSession, root: str) -> DataFrame:
     return licenses.scan(docs, licenses.fit(docs))
 
 
+def op12_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """A third of the rows is tampered with: the letters A-Z of their texts are lower-cased."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    proofs = merkle.manifest(read(spark, root, "documents"), altered={"text": F.when(tampered, lower).otherwise(F.col("text"))})
+    folded = merkle.fold(F.coalesce("altered_leaf", "leaf"), F.col("path"))
+    out = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -92,5 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_dedup": op8_lattice_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_licenses": op10_licenses,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-SQL: dict[str, str] = {}

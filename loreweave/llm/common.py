@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from loreweave.session import shared_folder
@@ -67,3 +68,25 @@ def runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
         last = tuple(c[-1] for c in columns)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def by_bytes(batch: pa.RecordBatch, *columns: str, budget: int = 1 << 21, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``rows`` rows and, unless one row alone has more, ``budget`` bytes in ``columns`` (text or lists of numbers).
+
+    What an operator builds for a slice is then bounded, however many rows Spark sends at once.
+    """
+    weight = np.zeros(batch.num_rows, dtype=np.int64)
+    for name in columns:
+        column = batch.column(name)
+        if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+            size = pc.multiply(pc.list_value_length(column), 8)
+        else:
+            size = pc.binary_length(column)
+        weight += pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(weight)
+    a = 0
+    while a < batch.num_rows:
+        b = int(np.searchsorted(total, (total[a - 1] if a else 0) + budget, side="right"))
+        b = min(max(b, a + 1), a + rows, batch.num_rows)
+        yield batch.slice(a, b - a)
+        a = b

@@ -5,10 +5,10 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import ann, chat_format, lattice_dedup, licenses, merkle, minhash_dedup, mixing, pii, sentencepiece_codec, token_counts, toxicity
+from loreweave.llm import ann, chat_format, lattice_dedup, licenses, merkle, minhash_dedup, mixing, periodic_runs, pii, sentencepiece_codec, token_counts, toxicity
 from loreweave.llm.common import read
 from loreweave.llm.sql import SQL  # noqa: F401
 
@@ -93,6 +93,39 @@ def op12_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _with_repetitions(docs: DataFrame) -> DataFrame:
+    """The contract's texts: in a tenth of the documents, the words from one on repeat a stretch."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        first = g % n
+        period = F.floor((n - first) / (g % 8 + 3)) + 1
+        at = lambda i: F.when(i < first, i).otherwise(first + (i - first) % period)
+        changed = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, at(i).cast("int")))
+        return F.when(n > 0, F.array_join(changed, " ")).otherwise(F.lit(""))
+
+    words = F.filter(F.split(F.col("text"), periodic_runs.WHITE), lambda w: w != "")
+    changed = F.element_at(F.transform(F.array(words), repeat), 1)  # bound by a lambda, so that the words are split once
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def periodic(docs: DataFrame) -> DataFrame:
+    """Runs of documents as digests."""
+    found = periodic_runs.find_runs(_with_repetitions(docs))
+    best = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda x, r: F.when(
+        x.isNull() | (r["length"] * x["period"] > x["length"] * r["period"]), r).otherwise(x))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                       F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.*", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    return periodic(read(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -105,4 +138,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_licenses": op10_licenses,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }

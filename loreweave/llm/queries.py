@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import ann, chat_format, lattice_dedup, licenses, merkle, minhash_dedup, mixing, periodic_runs, pii, sentencepiece_codec, token_counts, toxicity
+from loreweave.llm import ann, chat_format, lattice_dedup, licenses, merkle, minhash_dedup, mixing, periodic_runs, pii, secret_links, sentencepiece_codec, token_counts, toxicity
 from loreweave.llm.common import read
 from loreweave.llm.sql import SQL  # noqa: F401
 
@@ -83,6 +83,20 @@ def op10_licenses(spark: SparkSession, root: str) -> DataFrame:
     return licenses.scan(docs, licenses.fit(docs))
 
 
+def secret_digests(docs: DataFrame) -> DataFrame:
+    """Findings of documents as the contract's columns."""
+    found = secret_links.scan(docs)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_links.BASE))
+    return found.select(
+        "doc_id", *[count(k) for k in secret_links.BASE], F.sha2(secret_links.written(base), 256).alias("base_sha256"), secret_links.written(F.col("spans")).alias("spans")
+    )
+
+
+def op11_secret_links(spark: SparkSession, root: str) -> DataFrame:
+    return secret_digests(read(spark, root, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
     """A third of the rows is tampered with: the letters A-Z of their texts are lower-cased."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
@@ -137,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_dedup": op8_lattice_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_licenses": op10_licenses,
+    "op11_secret_links": op11_secret_links,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }

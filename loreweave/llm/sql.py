@@ -1,5 +1,7 @@
 """DuckDB twins of the queries that SQL can say."""
 
+from loreweave.llm import secret_links as s
+
 _CRC = """crc AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
     lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab)"""
@@ -59,4 +61,48 @@ SELECT e.doc_id, e.leaf, t.subroot, r.h AS root, sha256(e.proof) AS proof_sha256
 FROM ends e JOIN tops t ON t.key = e.key, (SELECT h FROM high WHERE n = 1) r WHERE e.k = 1
 """
 
-SQL: dict[str, str] = {"op12_merkle_manifest": MERKLE}
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secret_links() -> str:
+    """All matches with their positions, then every pair of a candidate and a part. DuckDB folds the letters U+017F and U+212A too, Spark only ASCII."""
+    families = {"assign": s.ASSIGN.replace("([", "(?:["), "access": s.ACCESS, "hex": s.HEX, "weak": s.WEAK_PATTERN}
+    matches = " UNION ALL ".join(
+        f"SELECT uid, '{f}' AS family, unnest(regexp_extract_all(text, {_q(p)})) AS m, unnest(string_split_regex(text, {_q(p)})[:-2]) AS gap, "
+        f"generate_subscripts(regexp_extract_all(text, {_q(p)}), 1) AS i FROM docs WHERE regexp_matches(text, {_q(p)})"
+        for f, p in families.items()
+    )
+    weak = " ".join(
+        f"WHEN regexp_matches(m, {_q(f'^(?:{p})')}) THEN "
+        + ("CASE WHEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN 'opaque' END" if k == "opaque" else f"'{k}'")
+        for k, p in s.WEAK.items()
+    )
+    in_ = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+    part = "CASE " + " ".join(f"WHEN kind = '{k}' THEN '{v}'" for k, v in s.PART.items()) + " END"
+    needs = " OR ".join(f"(a.kind = '{k}' AND b.part IN {in_(v)})" for k, v in s.NEEDS.items())
+    rank = "list_position([" + ", ".join(f"'{k}'" for k in s.KINDS) + "], kind)"
+    listed = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {rank}){only}, '')"
+    base = f"kind IN {in_(s.BASE)}"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text FROM documents),
+matches AS ({matches}),
+placed AS (
+  SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY uid, family ORDER BY i) AS stop,
+    CASE family WHEN 'assign' THEN CASE WHEN length(regexp_extract(m, {_q(s.ASSIGN)}, 1)) >= {s.VALUE} THEN 'assign' END
+      WHEN 'weak' THEN CASE {weak} END ELSE family END AS kind FROM matches),
+spans AS (
+  SELECT p.uid, kind, stop - length(m) AS start, stop, {part} AS part,
+    (SELECT count(*) FROM placed x WHERE x.uid = p.uid AND x.kind = 'break' AND x.stop <= p.stop) AS scope
+  FROM placed p WHERE kind IS NOT NULL AND kind <> 'break' AND ({base} OR NOT EXISTS (
+    SELECT 1 FROM placed x WHERE x.uid = p.uid AND x.{base} AND x.stop - length(x.m) < p.stop AND p.stop - length(p.m) < x.stop))),
+found AS (
+  SELECT * FROM spans a WHERE {base} OR EXISTS (SELECT 1 FROM spans b WHERE b.uid = a.uid AND b.scope = a.scope AND ({needs})
+    AND greatest(a.start, b.start) - least(a.stop, b.stop) <= {s.REACH}))
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256({listed.format(rank=rank, only=f" FILTER ({base})")}) AS base_sha256, {listed.format(rank=rank, only="")} AS spans
+FROM docs d LEFT JOIN found USING (uid) GROUP BY d.uid, d.doc_id
+"""
+
+
+SQL: dict[str, str] = {"op11_secret_links": _secret_links(), "op12_merkle_manifest": MERKLE}

@@ -65,7 +65,7 @@ def _graph_step(spark: SparkSession, root: str, batch_id: int, extractor: Extrac
     keys = ["user_id", "document_id"]
     try:
         graph = merge_log(read_log(spark, f"{root}/graph", before=batch_id))
-        delta = build_kg(chunks, graph, extractor, now=F.current_timestamp(), seq_base=batch_id << 31, embedder=embedder)
+        delta = build_kg(chunks, graph, extractor, now=F.current_timestamp(), batch=batch_id, embedder=embedder)
         write_delta(delta, f"{root}/graph", batch_id)
         found = spark.read.parquet(f"{root}/graph/entity_docs/batch_id={batch_id}").groupBy(*keys).agg(F.count(F.lit(1)).alias("entities"))
         failed = None

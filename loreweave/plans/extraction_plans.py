@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.jsonrec import recover_json
 from loreweave.functions.names import name_key
-from loreweave.functions.vectors import normalize
+from loreweave.functions.vectors import embed, normalize
 from loreweave.operators import extraction as ex
 from loreweave.operators import resolution as rs
-from loreweave.operators.graph_ingest import TABLES, Graph, build_kg
+from loreweave.operators.graph_ingest import TABLES, Graph, build_kg, merge_log
 from loreweave.plans.registry import plan, table
+from loreweave.plans.walk_sql import walk
 from loreweave.session import cut_lineage
 
 # Model replies built from order lines: one chunk per (order, line number). By order number modulo five the
@@ -291,12 +292,29 @@ def _batches(t):
     return rows.drop("p_partkey", "v"), rel.drop("other"), known
 
 
-@plan("a4_align_batch_entities")
+BATCH_ROWS = "SELECT user_id, p_brand AS document_id, p_partkey * 10 + v AS id, p_partkey, v, name, k.type, key, 'part ' || p_partkey AS description FROM keyed k JOIN part USING (p_partkey)"
+TOKENS = r"string_split_regex(lower(text), '[^\p{L}\p{N}]+')"
+table("batch_rows", BATCH_ROWS, ("keyed",))
+_ENTS = "SELECT user_id || '|' || document_id AS b, document_id AS doc, 0 AS ord, id, trim(name) AS raw, key, type, description FROM batch_rows WHERE trim(name) <> '' AND key <> ''"
+_OWNERS = "(SELECT DISTINCT user_id || '|' || document_id AS b, user_id FROM batch_rows)"
+_KNOWN = f"SELECT DISTINCT e.b, lower(r.name) AS name, r.type, NULL::VARCHAR AS text FROM batch_rows r JOIN {_OWNERS} e USING (user_id) WHERE r.v = 0 AND r.p_partkey % 7 = 0"
+#: Stored nodes with vectors: one type a name.
+_NODES = "SELECT user_id, lower(name) AS name, min(type) AS type FROM batch_rows WHERE v = 0 AND p_partkey % 7 = 0 GROUP BY 1, 2"
+_ENTITIES = "SELECT split_part(e.b, '|', 1) AS user_id, t.doc AS document_id, t.id, t.raw AS name, e.node AS name_lower, t.type, {last} FROM emitted e JOIN ent t USING (b, n)"
+
+
+@plan("a4_align_batch_entities", walk(_ENTS, _KNOWN, TOKENS) + _ENTITIES.format(last="t.description"), ("batch_rows",))
 def a4a(t):
     return rs.align_batch(*_batches(t))[0].select("user_id", "document_id", "id", "name", "name_lower", "type", "description")
 
 
-@plan("a4_align_batch_relations")
+@plan("a4_align_batch_relations", walk(_ENTS, _KNOWN, TOKENS) + """,
+spelled AS (SELECT b, lower(raw) AS raw, arg_max(node, id) AS node FROM finals GROUP BY 1, 2)
+SELECT DISTINCT a.user_id, a.document_id, s.node AS source_lower, t.node AS target_lower, 'depends on' AS relation
+FROM batch_rows a JOIN batch_rows o ON o.user_id = a.user_id AND o.document_id = a.document_id AND o.p_partkey = a.p_partkey + 3 AND a.v = 1 AND o.v = 2
+JOIN spelled s ON s.b = a.user_id || '|' || a.document_id AND s.raw = lower(trim(a.name)) JOIN spelled t ON t.b = s.b AND t.raw = lower(trim(o.name))
+WHERE s.node <> t.node
+""", ("batch_rows",))
 def a4b(t):
     return rs.align_batch(*_batches(t))[1]
 
@@ -334,16 +352,66 @@ def a6(t):
     return out.select(F.col("rid").alias("vec_id"), "alias", F.round("alias_score", 6).alias("alias_score"), "cross_type")
 
 
-@plan("a7_alias_cascade")
+@plan("a7_alias_cascade", walk(_ENTS, f"SELECT e.b, k.name, k.type, k.name AS text FROM ({_NODES}) k JOIN {_OWNERS} e USING (user_id)", TOKENS, same=0.85, cross=0.92)
+      + _ENTITIES.format(last="e.has_vector"), ("batch_rows",))
 def a7(t):
-    aligned, triples = rs.align_batch(*_batches(t))
-    return rs.semantic_align(aligned, triples, _no_vectors(t), same=0.9, cross=0.95)[0].select(
+    rows, relations, _ = _batches(t)
+    stored = _stored_nodes(t)
+    aligned, triples = rs.align_batch(rows, relations, stored)
+    return rs.semantic_align(aligned, triples, stored)[0].select(
         "user_id", "document_id", "id", "name", "name_lower", "type", F.col("embedding").isNotNull().alias("has_vector")
     )
 
 
-def _no_vectors(t):
-    return t.spark.createDataFrame([], "user_id string, name_lower string, type string, embedding array<double>")
+def _stored_nodes(t):
+    known = _batches(t)[2].groupBy("user_id", "name_lower").agg(F.min("type").alias("type"))
+    return embed(known, "name_lower", None, "embedding")
+
+
+def _kg_of_parts(t):
+    """Delta of one batch: a brand is a document, a part a chunk of it, whose reply names the part in seven ways and its maker."""
+    rows = variants(t)
+    said = rows.groupBy("user_id", F.col("p_brand").alias("document_id"), F.col("p_partkey").cast("int").alias("chunk_index")).agg(
+        F.array_sort(F.collect_list(F.struct("v", "name", "type"))).alias("said")
+    )
+    entity = lambda name, kind, about: F.struct(name.alias("name"), kind.alias("type"), about.alias("description"))
+    own = F.transform("said", lambda s: entity(s["name"], s["type"], F.concat(F.lit("part "), F.col("chunk_index").cast("string"))))
+    maker = F.array(entity(F.col("document_id"), F.lit("Organization"), F.lit("maker")))
+    relation = F.struct(F.col("said")[1]["name"].alias("source"), F.col("document_id").alias("target"), F.lit("Built on").alias("relation"))
+    one, two = F.to_json(F.struct(F.concat(own, maker).alias("entities"))), F.to_json(F.struct(F.array(relation).alias("relationships")))
+    chunks = said.select("user_id", "document_id", "chunk_index", F.lit("text").alias("text"), one.alias("pass1_raw"), F.lit(False).alias("pass1_failed"),
+                         two.alias("pass2_raw"), F.lit(False).alias("pass2_failed"))
+    graph = Graph(**{k: t.spark.createDataFrame([], v) for k, v in TABLES.items()})
+    graph.entities = graph.entities.unionByName(_stored_nodes(t), allowMissingColumns=True)
+    return build_kg(chunks, graph, lambda c: c, now=F.lit("2024-01-01").cast("timestamp"), batch=1)
+
+
+_KG_ENTS = """
+SELECT user_id AS b, document_id AS doc, 0 AS ord, p_partkey * 100 + v AS id, trim(name) AS raw, key, type, description FROM batch_rows
+UNION ALL SELECT user_id, document_id, 0, p_partkey * 100 + 9, document_id, lower(document_id), 'Organization', 'maker' FROM batch_rows WHERE v = 0
+"""
+_KG_WALK = walk(_KG_ENTS, f"SELECT user_id AS b, name, type, name AS text FROM ({_NODES})", TOKENS, same=0.85, cross=0.92)
+
+
+@plan("a8_kg_batch_entities", _KG_WALK + """
+SELECT e.b AS user_id, e.node AS name_lower, arg_min(t.raw, (t.doc, t.id)) AS name, arg_min(t.type, (t.doc, t.id)) AS type, CAST(count(DISTINCT t.doc) AS BIGINT) AS documents, bool_or(e.has_vector) AS has_vector
+FROM emitted e JOIN ent t USING (b, n) GROUP BY 1, 2
+""", ("batch_rows",))
+def a8c(t):
+    """Both layers on, at the library's thresholds, over documents that meet each other in one batch."""
+    delta = _kg_of_parts(t)
+    nodes = merge_log(delta).entities.select("user_id", "name_lower", "name", "type", F.col("embedding").isNotNull().alias("has_vector"))
+    return nodes.join(delta.entity_docs.groupBy("user_id", "name_lower").agg(F.count_distinct("document_id").alias("documents")), ["user_id", "name_lower"])
+
+
+@plan("a8_kg_batch_edges", _KG_WALK + """,
+spelled AS (SELECT b, doc, lower(raw) AS raw, arg_max(node, id) AS node FROM finals GROUP BY 1, 2, 3)
+SELECT s.b AS user_id, s.node AS source_lower, t.node AS target_lower, 'based on' AS relation, CAST(count(DISTINCT s.doc) AS BIGINT) AS documents
+FROM batch_rows a JOIN spelled s ON s.b = a.user_id AND s.doc = a.document_id AND s.raw = lower(trim(a.name)) JOIN spelled t ON t.b = a.user_id AND t.doc = a.document_id AND t.raw = lower(a.document_id)
+WHERE a.v = 1 AND s.node <> t.node GROUP BY 1, 2, 3
+""", ("batch_rows",))
+def a8d(t):
+    return _kg_of_parts(t).edge_docs.groupBy("user_id", "source_lower", "target_lower", "relation").agg(F.count_distinct("document_id").alias("documents"))
 
 
 @plan("a8_kg_ingest", """

@@ -1,15 +1,13 @@
-"""Batch hybrid retrieval: exact top-k scans, rank fusion, reranking, diversification.
+"""Batch hybrid retrieval: exact top-k, rank fusion, reranking, diversification.
 
-Scoring a batch of questions against an index is a join of everything with everything. It is run as a
-scan instead: a bounded batch of encoded questions goes to every task, each task scores its own chunks
-block by block and keeps only its best ``k`` per question, and one small shuffle merges those. No pair
-table exists and nothing of the index is shuffled. More questions than fit a batch are taken in
-several scans, so the shipped data stays bounded.
+Questions are rows and never pass the driver. Vectors meet on a grid of tiles, questions by index rows of a user, and a tile returns only its best
+``k`` rows a question; terms are looked up in an inverted index with pruning by block maxima. No table of pairs exists, and one small
+shuffle merges what tiles and blocks return.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -18,12 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from loreweave.functions.text import clip, snippet, tokens
 from loreweave.functions.vectors import Embedder, embed
 from loreweave.operators.index import query_weights
+from loreweave.operators.inverted import Inverted, build_inverted, lexical_top_k
 from loreweave.operators.ranking import top_k
+from loreweave.operators.tiles import matrix, tile_join
 from loreweave.session import cut_lineage
 
 # Fixed values of the retrieval settings.
@@ -33,7 +32,8 @@ PER_BRANCH = 30
 MAX_PER_DOCUMENT = 2
 RRF_K = 60
 
-QUERY_BATCH = 1024
+QUERY_BATCH = 2048  # questions of a tile
+INDEX_BLOCK = 16_384  # index rows of a tile
 SCORE_DIGITS = 6
 BLOCK = 512
 
@@ -56,177 +56,71 @@ def restrict(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-class _Best:
-    """Running best ``k`` rows of one question inside a task: score descending, then chunk id."""
+def _dense_hits(queries: DataFrame, index: DataFrame, limit: str, batch: int) -> DataFrame:
+    """Best chunks of each question by dot product: ``query_id, chunk_id, score, limit``, at most ``limit`` from every tile.
 
-    __slots__ = ("rows", "floor")
-
-    def __init__(self) -> None:
-        self.rows: list[tuple[float, str, tuple]] = []
-        self.floor = -np.inf
-
-    def offer(self, found: list[tuple[float, str, tuple]], k: int) -> None:
-        self.rows = sorted(self.rows + found, key=lambda r: (-r[0], r[1]))[:k]
-        if len(self.rows) == k:
-            self.floor = self.rows[-1][0]
-
-
-def _dense_code(rows: list) -> np.ndarray:
-    return np.array([r["dense"] for r in rows], dtype=np.float64)
-
-
-def _dense_scores(part: pa.RecordBatch, code: np.ndarray) -> np.ndarray:
-    vectors = part.column("dense").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.round(vectors.reshape(part.num_rows, -1) @ code.T, SCORE_DIGITS)
-
-
-def _sparse_code(rows: list) -> tuple:
-    """Inverted form of a batch of questions: vocabulary, and per term the questions having it."""
-    vocabulary: dict[str, list[tuple[int, float]]] = {}
-    for q, r in enumerate(rows):
-        for item in r["sparse"]:
-            vocabulary.setdefault(item["term"], []).append((q, item["weight"]))
-    flat = [x for v in vocabulary.values() for x in v]
-    return (
-        pa.array(list(vocabulary), pa.string()),
-        np.concatenate([[0], np.cumsum([len(v) for v in vocabulary.values()])]).astype(np.int64),
-        np.array([q for q, _ in flat], dtype=np.int64),
-        np.array([w for _, w in flat], dtype=np.float64),
-        len(rows),
-    )
-
-
-def _sparse_scores(part: pa.RecordBatch, code: tuple) -> np.ndarray:
-    """Scores of a block: known terms of its rows are matched to questions and summed per cell."""
-    vocabulary, pointers, owner, weight, width = code
-    n, lists = part.num_rows, part.column("sparse")
-    items = lists.flatten()
-    row = np.repeat(np.arange(n), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
-    term = pc.index_in(items.field("term"), value_set=vocabulary)
-    known = term.is_valid().to_numpy(zero_copy_only=False)
-    row, value = row[known], items.field("weight").to_numpy(zero_copy_only=False)[known]
-    term = term.drop_null().to_numpy(zero_copy_only=False)
-    fan = pointers[term + 1] - pointers[term]
-    begins = np.concatenate([[0], np.cumsum(fan)[:-1]]) if len(fan) else fan
-    at = np.repeat(pointers[term] - begins, fan) + np.arange(fan.sum())
-    cell = np.repeat(row, fan) * width + owner[at]
-    sums = np.bincount(cell, weights=np.repeat(value, fan) * weight[at], minlength=n * width)
-    return np.round(sums.reshape(n, width), SCORE_DIGITS)
-
-
-SCORERS = {"dense": (_dense_code, _dense_scores), "sparse": (_sparse_code, _sparse_scores)}
-
-
-def _scan(shipped: list, limits: dict[str, str], payload: list[str], out_schema: pa.Schema):
-    """Arrow function scoring index rows against one bounded batch of questions.
-
-    ``limits``: branch -> column holding how many rows a question wants from it (0: none).
+    Questions and index rows of a user and vector length meet on tiles of ``batch`` questions; a tile returns its best rows only.
     """
-    allowed = {r["query_id"]: set(r["document_ids"]) for r in shipped if r["document_ids"]}
-    grouped: dict[tuple, list] = {}
-    for branch, column in limits.items():
-        for r in shipped:
-            if r[column]:
-                width = len(r["dense"]) if branch == "dense" else None
-                grouped.setdefault((branch, r["user_id"], width), []).append(r)
-    groups = [(*key, rows) for key, rows in grouped.items()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded = [(branch, user, width, rows, SCORERS[branch][0](rows)) for branch, user, width, rows in groups]
-        best = {(branch, r["query_id"]): _Best() for branch, _, _, rows in groups for r in rows}
-        widths = {width for _, _, width, _ in groups if width is not None}
-        for whole in batches:
-            for lo in range(0, whole.num_rows, BLOCK):
-                block = whole.slice(lo, BLOCK)
-                owner = np.array(block.column("user_id").to_pylist(), dtype=object)
-                size = pc.list_value_length(block.column("dense")).fill_null(0).to_numpy(zero_copy_only=False) if widths else None
-                slices: dict = {}
-                for branch, user, width, rows, code in coded:
-                    if (user, width) not in slices:
-                        mine = np.flatnonzero(owner == user if width is None else (owner == user) & (size == width))
-                        part = block.take(pa.array(mine))
-                        slices[user, width] = (part, part.column("chunk_id").to_pylist(), part.column("document_id").to_pylist())
-                    part, ids, docs = slices[user, width]
-                    if not part.num_rows:
-                        continue
-                    scores = SCORERS[branch][1](part, code)
-                    floors = np.array([best[branch, r["query_id"]].floor for r in rows])
-                    hot = scores >= floors[None, :]
-                    if branch == "sparse":
-                        hot &= scores > 0
-                    for q in np.flatnonzero(hot.any(axis=0)):
-                        query, k = rows[q]["query_id"], rows[q][limits[branch]]
-                        at = np.flatnonzero(hot[:, q])
-                        only = allowed.get(query)
-                        if only:
-                            at = np.array([i for i in at if docs[i] in only], dtype=np.int64)
-                        column = scores[at, q]
-                        if len(at) > k:  # ties with the k-th score stay in
-                            least = np.partition(column, len(column) - k)[len(column) - k]
-                            at, column = at[column >= least], column[column >= least]
-                        ordered = sorted(zip(column.tolist(), at.tolist()), key=lambda x: (-x[0], ids[x[1]]))
-                        fields = [part.column(c) for c in payload]
-                        best[branch, query].offer([(s, ids[i], tuple(c[i].as_py() for c in fields)) for s, i in ordered[:k]], k)
-        out = [(query, branch, cid, s, *extra) for (branch, query), b in best.items() for s, cid, extra in b.rows]
-        if out:
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*out), out_schema)]
-            yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
-
-    return run
-
-
-def search(queries: DataFrame, index: DataFrame, limits: dict[str, Column | int], *, batch: int = QUERY_BATCH) -> DataFrame:
-    """Best index rows per question and branch in one scan of the index.
+    size = F.size("dense")
+    asked = queries.filter((size > 0) & (F.col(limit) > 0)).select("user_id", size.alias("_size"), "query_id", "document_ids", F.col(limit).alias("limit"), "dense")
+    held = index.filter(size > 0).select("user_id", size.alias("_size"), "chunk_id", "document_id", "dense")
+    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *held.schema.fields]}
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.take(pc.sort_indices(b["chunk_id"]))  # so that the first of equal scores is the smallest id
+        documents = b["document_id"].to_pylist() if len(a) and any(a["document_ids"].to_pylist()) else []
+        found: list[np.ndarray] = [np.empty(0, np.int64)]
+        values = [np.empty(0)]
+        vectors = matrix(b["dense"]).T if len(b) else None
+        for at in range(0, len(a) if len(b) else 0, BLOCK):
+            part = a.slice(at, BLOCK)
+            scores = np.round(matrix(part["dense"]) @ vectors, SCORE_DIGITS)
+            for row, k, only in zip(scores, part["limit"].to_pylist(), part["document_ids"].to_pylist()):
+                if only:
+                    allowed = set(only)
+                    open_ = np.fromiter((i for i, d in enumerate(documents) if d in allowed), np.int64)
+                else:
+                    open_ = np.arange(len(row))
+                score = row[open_]
+                if len(score) > k:  # ties with the k-th score stay in
+                    kept = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    open_, score = open_[kept], score[kept]
+                best = np.argsort(-score, kind="stable")[:k]
+                found.append(open_[best])
+                values.append(score[best])
+        owner = np.repeat(np.arange(len(found) - 1), [len(f) for f in found[1:]])
+        rows = a.take(pa.array(owner, pa.int64()))
+        columns = [rows["query_id"], b["chunk_id"].take(pa.array(np.concatenate(found))), pa.array(np.concatenate(values)), rows["limit"]]
+        return pa.table(columns, names=["query_id", "chunk_id", "score", "limit"])
+
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, limit int"
+    return tile_join(asked, held, ["user_id", "_size"], "query_id", "chunk_id", meet, schema, left_block=batch, right_block=INDEX_BLOCK)
+
+
+def search(queries: DataFrame, index: DataFrame, limits: dict[str, Column | int], *, inverted: Inverted | None = None, batch: int = QUERY_BATCH) -> DataFrame:
+    """Best index rows per question and branch.
 
     ``limits``: branch (``dense``, ``sparse``) -> rows wanted, a number or a per-question expression. Output:
-    ``query_id, branch, chunk_id, score`` + chunk columns + ``branch_rank``.
+    ``query_id, branch, chunk_id, score`` + chunk columns + ``branch_rank``. ``inverted`` is the stored inverted form of ``index``; it is built
+    where none is given and the sparse branch is asked for. Texts join the best rows at the end and take part in nothing before.
     """
     if "document_ids" not in queries.columns:
         queries = queries.withColumn("document_ids", F.lit(None).cast(T.ArrayType(index.schema["document_id"].dataType)))
     wanted = {b: F.when(F.size(b) > 0, k if isinstance(k, Column) else F.lit(k)).otherwise(0).cast("int") for b, k in limits.items()}
-    columns = {b: f"k_{b}" for b in limits}
-    encoded = queries.select("query_id", "user_id", "document_ids", *limits, *[w.alias(columns[b]) for b, w in wanted.items()])
-    payload = ["user_id", "document_id", "chunk_index", "text"]
-    schema = T.StructType(
-        [
-            queries.schema["query_id"],
-            T.StructField("branch", T.StringType()),
-            index.schema["chunk_id"],
-            T.StructField("score", T.DoubleType()),
-            *[index.schema[c] for c in payload],
-        ]
-    )
-    # One slice of questions is on the driver at a time: its result is written before the next is read.
-    slices = max(1, -(-encoded.count() // batch))
-    if slices > 1:
-        encoded = cut_lineage(encoded)
-    rows = index.select("chunk_id", *payload, *limits)
+    encoded = cut_lineage(queries.select("query_id", "user_id", "document_ids", *limits, *[w.alias(f"k_{b}") for b, w in wanted.items()]))
     parts = []
-    for i in range(slices):
-        piece = encoded if slices == 1 else encoded.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        shipped = [r.asDict(recursive=True) for r in piece.collect()]
-        if not shipped:
-            continue
-        scanned = rows.join(piece.select("user_id").distinct(), "user_id", "left_semi").select("chunk_id", *payload, *limits)
-        found = scanned.mapInArrow(_scan(shipped, columns, payload, to_arrow_schema(schema)), schema)
-        parts.append(found if slices == 1 else cut_lineage(found))
-    found = reduce(DataFrame.unionByName, parts) if parts else index.sparkSession.createDataFrame([], schema)
-    most = encoded.select("query_id", *columns.values())
-    # A task returns at most k rows per question, so the merge below sees k rows per question and task.
-    order = [F.desc("score"), F.asc("chunk_id")]
-    w = Window.partitionBy("query_id", "branch").orderBy(*order)
-    ranked = found.withColumn("branch_rank", F.row_number().over(w))
-    fixed = {b: k for b, k in limits.items() if not isinstance(k, Column)}
-    if len(fixed) == len(limits):
-        keep = F.lit(False)
-        for b, k in fixed.items():
-            keep = keep | ((F.col("branch") == b) & (F.col("branch_rank") <= k))
-        return ranked.filter(keep)
-    joined = ranked.join(most, "query_id")
-    keep = F.lit(False)
-    for b, column in columns.items():
-        keep = keep | ((F.col("branch") == b) & (F.col("branch_rank") <= F.col(column)))
-    return joined.filter(keep).drop(*columns.values())
+    for branch in limits:
+        if branch == "dense":
+            hits = _dense_hits(encoded, index, "k_dense", batch)
+        else:
+            hits = lexical_top_k(encoded, inverted or build_inverted(index), "k_sparse")
+        parts.append(hits.withColumn("branch", F.lit(branch)))
+    found = reduce(DataFrame.unionByName, parts).join(encoded.select("query_id", "user_id"), "query_id")
+    w = Window.partitionBy("query_id", "branch").orderBy(F.desc("score"), F.asc("chunk_id"))
+    best = found.withColumn("branch_rank", F.row_number().over(w)).filter(F.col("branch_rank") <= F.col("limit")).drop("limit")
+    texts = index.select("user_id", "chunk_id", "document_id", "chunk_index", "text")
+    joined = best.join(texts, ["user_id", "chunk_id"])
+    return joined.select("query_id", "branch", "chunk_id", "score", "user_id", "document_id", "chunk_index", "text", "branch_rank")
 
 
 def dense_top_k(queries: DataFrame, index: DataFrame, k: int = PER_BRANCH, *, batch: int = QUERY_BATCH) -> DataFrame:
@@ -234,9 +128,9 @@ def dense_top_k(queries: DataFrame, index: DataFrame, k: int = PER_BRANCH, *, ba
     return search(queries, index, {"dense": k}, batch=batch)
 
 
-def sparse_top_k(queries: DataFrame, index: DataFrame, k: int = PER_BRANCH, *, batch: int = QUERY_BATCH) -> DataFrame:
+def sparse_top_k(queries: DataFrame, index: DataFrame, k: int = PER_BRANCH, *, inverted: Inverted | None = None) -> DataFrame:
     """Lexical top-k: dot product of term weights; chunks sharing no term are not candidates."""
-    return search(queries, index, {"sparse": k}, batch=batch)
+    return search(queries, index, {"sparse": k}, inverted=inverted)
 
 
 def reciprocal_rank_fusion(branches: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
@@ -257,6 +151,7 @@ def candidate_search(
     hybrid: bool = True,
     per_branch: int = PER_BRANCH,
     rrf_k: int = RRF_K,
+    inverted: Inverted | None = None,
     batch: int = QUERY_BATCH,
 ) -> DataFrame:
     """Fused candidates; questions without lexical terms (or ``hybrid=False``) take the dense branch alone."""
@@ -264,7 +159,7 @@ def candidate_search(
     if not hybrid:
         return dense_top_k(queries, index, limit, batch=batch).withColumnRenamed("branch_rank", "rank").select(columns)
     lexical = F.size("sparse") > 0
-    hits = search(queries, index, {"dense": F.when(lexical, per_branch).otherwise(limit), "sparse": per_branch}, batch=batch)
+    hits = search(queries, index, {"dense": F.when(lexical, per_branch).otherwise(limit), "sparse": per_branch}, inverted=inverted, batch=batch)
     marked = hits.join(queries.select("query_id", lexical.alias("_lexical")), "query_id")
     fused = reciprocal_rank_fusion(marked.filter("_lexical"), limit, rrf_k).select(columns)
     plain = marked.filter("not _lexical").withColumnRenamed("branch_rank", "rank")
@@ -344,11 +239,12 @@ def retrieve(
     scorer: PairScorer | None = token_overlap,
     hybrid: bool = True,
     embedder: Embedder | None = None,
+    inverted: Inverted | None = None,
     batch: int = QUERY_BATCH,
 ) -> DataFrame:
     """Candidates → rerank the whole pool → diversify → top ``k``, for every question at once."""
     encoded = encode_queries(queries, embedder)
-    pool = candidate_search(encoded, index, max(k, candidates), hybrid=hybrid, batch=batch)
+    pool = candidate_search(encoded, index, max(k, candidates), hybrid=hybrid, inverted=inverted, batch=batch)
     return diversify(rerank(pool, queries, scorer), k, max_per_doc)
 
 

@@ -107,7 +107,7 @@ SELECT query_id, string_agg('- ' || name || ' (Concept)' || coalesce(E'\n' || li
 
 
 def found(t):
-    return retrieval.retrieve(t.questions, t.index)
+    return retrieval.retrieve(t.questions, t.index, inverted=t.inverted)
 
 
 @plan("v1_context_block", "SELECT query_id, context FROM context_block", ("context_block",))

@@ -352,6 +352,26 @@ def a6(t):
     return out.select(F.col("rid").alias("vec_id"), "alias", F.round("alias_score", 6).alias("alias_score"), "cross_type")
 
 
+@plan("a6_semantic_alias_defaults", r"""
+WITH texts AS (SELECT DISTINCT name AS text FROM batch_rows UNION SELECT DISTINCT lower(name) FROM batch_rows),
+slots AS (SELECT text, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64 AS slot, CAST(count(*) AS DOUBLE) AS c FROM (
+  SELECT text, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS tok FROM texts) WHERE tok <> '' GROUP BY 1, 2),
+unit AS (SELECT text, slot, c / sqrt(sum(c * c) OVER (PARTITION BY text)) AS w FROM slots),
+stored AS (""" + _NODES + """),
+pairs AS (SELECT n.name AS text, k.user_id, k.name, k.type, round(sum(u.w * v.w), 9) AS score FROM (SELECT DISTINCT user_id, name FROM batch_rows) n JOIN stored k USING (user_id)
+  JOIN unit u ON u.text = n.name JOIN unit v ON v.text = k.name AND v.slot = u.slot GROUP BY ALL)
+SELECT user_id, id, coalesce(same, cross_) AS alias, round(coalesce(same_score, cross_score), 6) AS alias_score, same IS NULL AS cross_type FROM (
+  SELECT r.user_id, r.id, arg_min(p.name, (-score, p.name)) FILTER (WHERE p.type = r.type AND score >= 0.85) AS same, max(score) FILTER (WHERE p.type = r.type AND score >= 0.85) AS same_score,
+    arg_min(p.name, (-score, p.name)) FILTER (WHERE p.type <> r.type AND score >= 0.92) AS cross_, max(score) FILTER (WHERE p.type <> r.type AND score >= 0.92) AS cross_score
+  FROM batch_rows r JOIN pairs p ON p.user_id = r.user_id AND p.text = r.name GROUP BY 1, 2)
+WHERE same IS NOT NULL OR cross_ IS NOT NULL
+""", ("batch_rows",))
+def a6b(t):
+    """At the library's thresholds: every spelling of a part against the stored names."""
+    out = rs.find_semantic_alias(embed(_batches(t)[0].withColumnRenamed("id", "rid"), "name", None, "embedding"), _stored_nodes(t))
+    return out.select("user_id", F.col("rid").alias("id"), "alias", F.round("alias_score", 6).alias("alias_score"), "cross_type")
+
+
 @plan("a7_alias_cascade", walk(_ENTS, f"SELECT e.b, k.name, k.type, k.name AS text FROM ({_NODES}) k JOIN {_OWNERS} e USING (user_id)", TOKENS, same=0.85, cross=0.92)
       + _ENTITIES.format(last="e.has_vector"), ("batch_rows",))
 def a7(t):

@@ -279,7 +279,7 @@ SELECT query_id, document_id, CAST(row_number() OVER (PARTITION BY query_id ORDE
 def k13b(t):
     from loreweave.operators import retrieval
 
-    pool = retrieval.candidate_search(retrieval.encode_queries(t.questions), t.index)
+    pool = retrieval.candidate_search(retrieval.encode_queries(t.questions), t.index, inverted=t.inverted)
     return ranked(gx.chunk_documents(pool)).select("query_id", "document_id", "rank")
 
 

@@ -220,7 +220,7 @@ def r3b(t):
 
 @plan("r4_sparse_topk", "SELECT query_id, chunk_id, score, CAST(branch_rank AS BIGINT) AS branch_rank FROM sparse_top", ("sparse_top",))
 def r4(t):
-    found = retrieval.sparse_top_k(retrieval.encode_queries(t.questions), t.index)
+    found = retrieval.sparse_top_k(retrieval.encode_queries(t.questions), t.index, inverted=t.inverted)
     return found.select("query_id", "chunk_id", "score", F.col("branch_rank").cast("long").alias("branch_rank"))
 
 
@@ -229,19 +229,19 @@ SELECT query_id, chunk_id, score, CAST(rank AS BIGINT) AS rank FROM candidates W
 """, ("candidates", "question_tokens"))
 def r5(t):
     q = retrieval.encode_queries(t.questions).filter(F.size("sparse") > 0)
-    both = retrieval.search(q, t.index, {"dense": retrieval.PER_BRANCH, "sparse": retrieval.PER_BRANCH})
+    both = retrieval.search(q, t.index, {"dense": retrieval.PER_BRANCH, "sparse": retrieval.PER_BRANCH}, inverted=t.inverted)
     return retrieval.reciprocal_rank_fusion(both, 40).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @plan("r6_fallback_ladder", "SELECT query_id, chunk_id, document_id, score, CAST(rank AS BIGINT) AS rank FROM candidates", ("candidates",))
 def r6(t):
-    found = retrieval.candidate_search(retrieval.encode_queries(t.questions), t.index)
+    found = retrieval.candidate_search(retrieval.encode_queries(t.questions), t.index, inverted=t.inverted)
     return found.select("query_id", "chunk_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @plan("r7_rerank", "SELECT query_id, chunk_id, score, CAST(rank AS BIGINT) AS rank FROM reranked", ("reranked",))
 def r7(t):
-    pool = retrieval.candidate_search(retrieval.encode_queries(t.questions), t.index)
+    pool = retrieval.candidate_search(retrieval.encode_queries(t.questions), t.index, inverted=t.inverted)
     return retrieval.rerank(pool, t.questions).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -263,7 +263,7 @@ def r8(t):
 
 @plan("r9_retrieve", "SELECT query_id, chunk_id, document_id, score, CAST(rank AS BIGINT) AS rank FROM diversified", ("diversified",))
 def r9(t):
-    return retrieval.retrieve(t.questions, t.index).select("query_id", "chunk_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieval.retrieve(t.questions, t.index, inverted=t.inverted).select("query_id", "chunk_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @plan("r10_retrieval_stats", """
@@ -271,7 +271,7 @@ SELECT query_id, CAST(n AS BIGINT) AS candidate_count, CAST(coalesce(r, 0) AS BI
 FROM (SELECT query_id, count(*) AS n FROM candidates GROUP BY 1) LEFT JOIN (SELECT query_id, count(*) AS r, count(DISTINCT document_id) AS d FROM diversified GROUP BY 1) USING (query_id)
 """, ("candidates", "diversified"))
 def r10(t):
-    pool = retrieval.candidate_search(retrieval.encode_queries(t.questions), t.index)
+    pool = retrieval.candidate_search(retrieval.encode_queries(t.questions), t.index, inverted=t.inverted)
     return retrieval.retrieval_stats(pool, retrieval.diversify(retrieval.rerank(pool, t.questions)))
 
 
@@ -319,7 +319,7 @@ def f1(t):
     "text", "query", "query_id, CAST(rank AS BIGINT) AS rank, chunk_id, document_id, CAST(chunk_index AS BIGINT) AS chunk_index, score", "text_preview", 280),
     ("diversified", "passages", "questions"))
 def p5(t):
-    found = retrieval.citations(retrieval.retrieve(t.questions, t.index), t.questions)
+    found = retrieval.citations(retrieval.retrieve(t.questions, t.index, inverted=t.inverted), t.questions)
     return found.withColumn("rank", F.col("rank").cast("long")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
@@ -327,7 +327,7 @@ def p5(t):
 SELECT query_id, chunk_id, CASE WHEN score >= 0.5 THEN 'strong' WHEN score >= 0.2 THEN 'moderate' ELSE 'weak' END AS bucket FROM sparse_top
 """, ("sparse_top",))
 def p6(t):
-    found = retrieval.sparse_top_k(retrieval.encode_queries(t.questions), t.index)
+    found = retrieval.sparse_top_k(retrieval.encode_queries(t.questions), t.index, inverted=t.inverted)
     return found.select("query_id", "chunk_id", retrieval.score_bucket(F.col("score")).alias("bucket"))
 
 
@@ -366,7 +366,7 @@ LEFT JOIN (SELECT query_id, CAST(count(DISTINCT document_id) AS DOUBLE) AS n FRO
 LEFT JOIN (SELECT query_id, count(DISTINCT x.document_id) AS n FROM ({EXPECTED}) x JOIN diversified d USING (query_id, document_id) GROUP BY 1) h USING (query_id)
 """, ("questions", "diversified"))
 def e1(t):
-    found = retrieval.retrieve(t.questions, t.index).groupBy("query_id").agg(F.collect_set("document_id").alias("got"))
+    found = retrieval.retrieve(t.questions, t.index, inverted=t.inverted).groupBy("query_id").agg(F.collect_set("document_id").alias("got"))
     want = _expected(t).groupBy("query_id").agg(F.collect_set("document_id").alias("want"))
     none = F.array().cast("array<string>")
     rows = t.questions.join(found, "query_id", "left").join(want, "query_id", "left")
@@ -407,7 +407,7 @@ LEFT JOIN (SELECT query_id, count(DISTINCT x.document_id) AS n FROM ({EXPECTED})
 def _scored(t):
     from loreweave.operators.ranking import join_text
 
-    found = retrieval.retrieve(t.questions, t.index)
+    found = retrieval.retrieve(t.questions, t.index, inverted=t.inverted)
     answers = found.groupBy("query_id").agg(join_text(F.col("text"), [F.col("rank")], " ").alias("answer"))
     i = F.col("query_id")
     responses = answers.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.text import placeholder_title
 from loreweave.operators.index import build_index
+from loreweave.operators.inverted import Inverted, build_inverted
 from loreweave.session import cut_lineage
 
 PASSAGE = 400
@@ -98,6 +99,11 @@ class Tables:
     def index(self) -> DataFrame:
         return cut_lineage(build_index(self.passages))
 
+    @cached_property
+    def inverted(self) -> Inverted:
+        """Postings of the index."""
+        return build_inverted(self.index)
+
     @cached_property
     def questions(self) -> DataFrame:
         """Benchmark texts as questions, and for every tenth another one of punctuation only, which has no lexical terms."""

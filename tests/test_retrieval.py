@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from loreweave.operators import chunking, index, retrieval
+from loreweave.operators import chunking, index, inverted, retrieval
 
 CHUNK = "user_id string, document_id string, chunk_id string, chunk_index int, text string"
 
@@ -55,9 +55,9 @@ def test_branches_match_brute_force_for_any_batch_size(spark):
     idx = index.build_index(corpus(spark)).repartition(5)
     queries = ask(spark, ["d1", "d7", "d9"])
     encoded = retrieval.encode_queries(queries)
-    for batch in (1024, 2):
+    for batch in (1024, 2):  # questions of a tile, chunks of a block
         assert ranked(retrieval.dense_top_k(encoded, idx, 7, batch=batch)) == brute(spark, queries, idx, "dense", 7)
-        assert ranked(retrieval.sparse_top_k(encoded, idx, 7, batch=batch)) == brute(spark, queries, idx, "sparse", 7)
+        assert ranked(retrieval.sparse_top_k(encoded, idx, 7, inverted=inverted.build_inverted(idx, block=batch))) == brute(spark, queries, idx, "sparse", 7)
 
 
 def test_no_question_and_no_index(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.names import name_key
@@ -24,6 +24,7 @@ EDGE = ["user_id", "source_lower", "target_lower", "relation"]
 # List limits and hop bounds of the graph reads.
 RECENT_LIMIT, NEIGHBOUR_LIMIT, SNAPSHOT_NODES, SNAPSHOT_LINKS = 200, 50, 500, 2000
 FACTS_PER_SEED, MAX_HOPS = 12, 3
+SPARE = 8  # entries of a neighbour list beyond those that a seed can leave out
 
 
 def upsert_entities(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -133,6 +134,14 @@ def entities_of_documents(requests: DataFrame, entities: DataFrame, entity_docs:
     return top_k(rows, ["query_id"], [F.desc("last_seen_at"), F.asc("name_lower")], limit)
 
 
+def adjacency(steps: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` neighbours of every node by (name, key), ``cut`` where it has more. Hubs are cut in slices first."""
+    names = entities.select("user_id", F.col("name_lower").alias("other_lower"), F.col("name").alias("_name"))
+    ranked = top_k(steps.join(names, ["user_id", "other_lower"]), ["user_id", "node"], [F.asc("_name"), F.asc("other_lower")], limit + 1, salt_on=["other_lower"])
+    more = F.max("rank").over(Window.partitionBy("user_id", "node")) > limit
+    return ranked.withColumn("cut", more).filter(F.col("rank") <= limit).select("user_id", "node", "other_lower", "relation", "cut")
+
+
 def entity_facts(
     seeds: DataFrame, entities: DataFrame, edges: DataFrame, hops: int = 1, per_seed: int = FACTS_PER_SEED
 ) -> DataFrame:
@@ -144,14 +153,16 @@ def entity_facts(
     equally short paths the alphabetically first chain is reported.
 
     Each hop keeps one chain per (seed, neighbour) and drops neighbours already reached. Nearer neighbours
-    always rank first, so a seed that has ``per_seed`` of them is finished and takes no further hop: hubs
-    and their surroundings are never expanded twice.
+    always rank first, so a seed that has ``per_seed`` of them is finished and takes no further hop, and an unfinished one has
+    few nodes to go on from. Of each of them the first neighbours by name are enough (:func:`adjacency`): a hub's degree is read once,
+    when the lists are made. Where so many of a list's entries are left out that it may be too short, that seed takes the hop over all edges.
     """
     if not 1 <= hops <= MAX_HOPS:
         raise ValueError(f"hops must be between 1 and {MAX_HOPS}")
     asked = seeds.select("user_id", F.lower("name").alias("_l")).distinct()
     start = entities.withColumn("_l", F.lower("name")).join(asked, ["user_id", "_l"], "left_semi").drop("_l")
-    steps = symmetric(edges).groupBy("user_id", "node", "other_lower").agg(F.min("relation").alias("relation"))
+    steps = cut_lineage(symmetric(edges).groupBy("user_id", "node", "other_lower").agg(F.min("relation").alias("relation")))
+    lists = cut_lineage(adjacency(steps, entities, 2 * per_seed + SPARE))
     none = F.array().cast("array<string>")
     own = start.select("user_id", F.col("name_lower").alias("seed"), F.col("name").alias("seed_name"))
     other = entities.select(
@@ -161,16 +172,27 @@ def entity_facts(
     frontier = own.select("user_id", "seed", "seed_name", F.col("seed").alias("node"), none.alias("chain"))
     reached = frontier.select("user_id", "seed", "node")
     layers = []
-    for hop in range(1, hops + 1):
-        wide = frontier.join(steps, ["user_id", "node"]).select(
-            "user_id", "seed", "seed_name", F.col("other_lower").alias("node"), F.concat("chain", F.array("relation")).alias("chain")
-        )
-        fresh = (
-            wide.groupBy("user_id", "seed", "seed_name", "node").agg(F.min("chain").alias("chain"))
-            .join(reached, ["user_id", "seed", "node"], "left_anti")
+
+    def walk(start: DataFrame, edges: DataFrame) -> DataFrame:
+        return start.join(edges, ["user_id", "node"]).withColumn("via", F.col("node")).select(
+            "user_id", "seed", "seed_name", "via", F.col("other_lower").alias("node"), F.concat("chain", F.array("relation")).alias("chain"), *[c for c in edges.columns if c == "cut"]
         )
-        if hop < hops:
-            fresh = cut_lineage(fresh)
+
+    def fresh_of(wide: DataFrame) -> DataFrame:
+        first = wide.groupBy("user_id", "seed", "seed_name", "node").agg(F.min("chain").alias("chain"))
+        return first.join(reached, ["user_id", "seed", "node"], "left_anti")
+
+    for hop in range(1, hops + 1):
+        wide = cut_lineage(walk(frontier, lists))
+        left = wide.join(reached, ["user_id", "seed", "node"], "left_anti").join(other.select("user_id", "node", "other"), ["user_id", "node"])
+        left = left.filter(F.col("other") != F.col("seed_name")).groupBy("user_id", "seed", "via").agg(F.count(F.lit(1)).alias("_n"))
+        short = wide.filter("cut").select("user_id", "seed", "via").distinct().join(left, ["user_id", "seed", "via"], "left")
+        short = cut_lineage(short.filter(F.coalesce("_n", F.lit(0)) < per_seed).select("user_id", "seed").distinct())
+        fresh = fresh_of(wide)
+        if not short.isEmpty():
+            again = walk(frontier.join(short, ["user_id", "seed"], "left_semi"), steps)
+            fresh = fresh.join(short, ["user_id", "seed"], "left_anti").unionByName(fresh_of(again))
+        fresh = cut_lineage(fresh)
         named = fresh.join(other, ["user_id", "node"]).filter(F.col("other") != F.col("seed_name"))
         layers.append(named.withColumn("distance", F.lit(hop)))
         if hop < hops:

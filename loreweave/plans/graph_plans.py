@@ -76,12 +76,10 @@ def k4(t):
 SELECT user_id, source, target, relation, target_type, target_description, CAST(rank AS BIGINT) AS rank FROM (
   SELECT a.user_id, a.name AS source, b.name AS target, s.relation, b.type AS target_type, b.description AS target_description,
     row_number() OVER (PARTITION BY a.user_id, a.name_lower ORDER BY b.name, s.relation, s.direction, b.name_lower) AS rank
-  FROM entities a JOIN sym s ON s.user_id = a.user_id AND s.node = a.name_lower JOIN entities b ON b.user_id = a.user_id AND b.name_lower = s.other_lower
-  WHERE a.type IN ('Location', 'Product')) WHERE rank <= 50
+  FROM entities a JOIN sym s ON s.user_id = a.user_id AND s.node = a.name_lower JOIN entities b ON b.user_id = a.user_id AND b.name_lower = s.other_lower) WHERE rank <= 50
 """, ("entities", "sym"))
 def k5(t):
-    seeds = t.entities.filter(F.col("type").isin("Location", "Product")).select("user_id", "name")
-    return ranked(gs.neighbours(seeds, t.entities, t.edges)).drop("direction")
+    return ranked(gs.neighbours(t.entities.select("user_id", "name"), t.entities, t.edges)).drop("direction")
 
 
 table("snap_nodes", """
@@ -151,13 +149,14 @@ WHERE t.other_lower <> h.seed AND NOT EXISTS (SELECT 1 FROM {prefix}hop1 x WHERE
 
 NATIONS = "SELECT user_id, name_lower, name FROM entities WHERE type = 'Location'"
 fact_tables("", NATIONS, ("entities",))
+fact_tables("all_", "SELECT user_id, name_lower, name FROM entities", ("entities",))
 
 
 @plan("k8_multi_hop_facts", """
-SELECT user_id, name, coalesce(other, '') AS other, coalesce(other_type, '') AS other_type, CAST(coalesce(distance, 0) AS BIGINT) AS distance, coalesce(chain, '') AS chain, CAST(coalesce(rank, 0) AS BIGINT) AS rank FROM facts
-""", ("facts",))
+SELECT user_id, name, coalesce(other, '') AS other, coalesce(other_type, '') AS other_type, CAST(coalesce(distance, 0) AS BIGINT) AS distance, coalesce(chain, '') AS chain, CAST(coalesce(rank, 0) AS BIGINT) AS rank FROM all_facts
+""", ("all_facts",))
 def k8(t):
-    seeds = t.entities.filter("type = 'Location'").select("user_id", F.upper("name").alias("name"))
+    seeds = t.entities.select("user_id", F.upper("name").alias("name"))
     rows = gs.entity_facts(seeds, t.entities, t.edges, hops=2)
     r = F.col("r")
     return rows.select("user_id", "name", F.explode_outer("relations").alias("r")).select(
@@ -418,12 +417,12 @@ def k18b(t):
 
 
 @plan("k19_node_relations", """
-SELECT l.user_id, l.source AS name, 'outgoing' AS direction, l.source, l.target, l.relation FROM snap_links l JOIN snap_nodes n ON n.user_id = l.user_id AND n.name = l.source WHERE n.type = 'Location'
-UNION ALL SELECT l.user_id, l.target, 'incoming', l.source, l.target, l.relation FROM snap_links l JOIN snap_nodes n ON n.user_id = l.user_id AND n.name = l.target WHERE n.type = 'Location'
+SELECT l.user_id, l.source AS name, 'outgoing' AS direction, l.source, l.target, l.relation FROM snap_links l JOIN snap_nodes n ON n.user_id = l.user_id AND n.name = l.source
+UNION ALL SELECT l.user_id, l.target, 'incoming', l.source, l.target, l.relation FROM snap_links l JOIN snap_nodes n ON n.user_id = l.user_id AND n.name = l.target
 """, ("snap_links", "snap_nodes"))
 def k19(t):
     nodes, links = gs.snapshot(t.entities, t.edges)
-    return gx.relations_of_node(nodes.filter("type = 'Location'"), links.drop("rank"))
+    return gx.relations_of_node(nodes, links.drop("rank"))
 
 
 @plan("a3_predicate_canonicalisation", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -44,8 +45,11 @@ def with_tables(uses: tuple[str, ...], body: str) -> str:
         visit(name)
     if not order:
         return body.strip()
-    heads = ",\n".join(f"{n} AS ({CTE[n][1].strip()})" for n in order)
     body = body.strip()
+    # A table that is read more than once is computed once.
+    everything = "\n".join([*(CTE[n][1] for n in order), body])
+    often = {n for n in order if len(re.findall(rf"\b{n}\b", everything)) > 1}
+    heads = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in often else ''}({CTE[n][1].strip()})" for n in order)
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {heads},\n{body[len('WITH RECURSIVE '):]}"
     if body.upper().startswith("WITH "):

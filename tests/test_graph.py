@@ -116,3 +116,18 @@ def test_merge_unique_keeps_first_spelling(spark):
     rows = [(1, "u", 0, 0, "B"), (1, "u", 0, 1, "a"), (1, "u", 1, 0, "A"), (1, "u", 1, 1, "c")]
     out = gx.merge_unique(spark.createDataFrame(rows, "query_id long, user_id string, source int, pos int, name string"), 3)
     assert [r["name"] for r in out.orderBy("rank").collect()] == ["B", "a", "c"]
+
+
+def test_cut_lists_keep_the_nearest(spark):
+    """Hubs with more neighbours than a list holds, names that many nodes share, and few facts a seed."""
+    rng = random.Random(8)
+    names = ["Same" if i % 3 == 0 else f"n{i:03d}" for i in range(120)]
+    ents = spark.createDataFrame([("u", f"k{i:03d}", n, "Concept", None, None, None, None) for i, n in enumerate(names)], ENT)
+    pairs = {(0, i) for i in range(1, 80)} | {(1, i) for i in range(3, 60, 3)} | {(rng.randrange(60, 120), rng.randrange(60, 120)) for _ in range(60)}
+    rows = [("u", f"k{a:03d}", f"k{b:03d}", rng.choice("pqr"), None) for a, b in sorted(pairs) if a != b]
+    edges = spark.createDataFrame(rows, EDGE)
+    for hops in (1, 2, 3):
+        for r in gs.entity_facts(ents, ents, edges, hops, per_seed=3).collect():
+            want = shortest(rows, "u", r["name_lower"], hops)
+            order = sorted((d, names[int(o[1:])], o, c) for o, (d, c) in want.items() if names[int(o[1:])] != r["name"])[:3]
+            assert [(x["distance"], x["other"], tuple(x["relation_chain"])) for x in r["relations"]] == [(d, n, c) for d, n, _, c in order], r

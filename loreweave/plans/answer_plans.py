@@ -73,12 +73,12 @@ def v9(t):
     return verified(t).select("answer_id", "skip_reason", "verdict", "groundedness_score", "total_claims", "supported_claims", F.array_join("unsupported_claims", "|").alias("unsupported"))
 
 
-@plan("p14_strict_gate", """
+@plan("p14_strict_gate", f"""
 SELECT answer_id, use_rag AND rag_mode = 'strict' AND verdict <> 'skipped' AND groundedness_score < 0.8 AS refused,
-  CASE WHEN use_rag AND rag_mode = 'strict' AND verdict <> 'skipped' AND groundedness_score < 0.8 THEN substring('I can''t answer this confidently', 1, 20) ELSE substring(answer, 1, 20) END AS answer FROM verified
+  CASE WHEN use_rag AND rag_mode = 'strict' AND verdict <> 'skipped' AND groundedness_score < 0.8 THEN '{an.REFUSAL.replace("'", "''")}' ELSE answer END AS answer FROM verified
 """, ("verified",))
 def p14(t):
-    return an.strict_gate(verified(t)).select("answer_id", "refused", F.substring("answer", 1, 20).alias("answer"))
+    return an.strict_gate(verified(t)).select("answer_id", "refused", "answer")
 
 
 # ---- prompt blocks ----
@@ -219,13 +219,13 @@ def v10(t):
     return an.verifier_context(answers, found(t), facts, clean_web_results(t.web))
 
 
-# Summary replies: the text's first 700 characters, and word lists with repeats, blanks, numbers.
+# Summary replies: the whole text, its words with repeats and blanks, and the text twice as a topic.
 def summary_replies(t):
     d = t.raw("documents")
-    words = F.slice(F.split(F.regexp_replace("text", r'["\\\n]', " "), " "), 1, 12)
+    words = F.split(F.regexp_replace("text", r'["\\\n]', " "), " ")
     raw = F.to_json(F.struct(
-        F.substring(F.regexp_replace("text", r'["\\\n]', " "), 1, 700).alias("tldr"),
-        F.concat(words, F.transform(words, F.upper)).alias("key_points"), F.array_repeat(F.substring(F.regexp_replace("text", r'["\\\n]', " "), 1, 100), 2).alias("topics"),
+        F.regexp_replace("text", r'["\\\n]', " ").alias("tldr"),
+        F.concat(words, F.transform(words, F.upper)).alias("key_points"), F.array_repeat(F.regexp_replace("text", r'["\\\n]', " "), 2).alias("topics"),
     ))
     return d.select(F.col("lang").alias("user_id"), F.col("doc_id").cast("string").alias("document_id"), wrap(raw, F.col("doc_id") % 4).alias("raw"))
 
@@ -235,7 +235,7 @@ SELECT user_id, document_id, ok, CASE WHEN ok THEN CASE WHEN length(tl) > 600 TH
   CASE WHEN ok THEN list_filter(kp, lambda x, i: list_position(list_transform(kp, lambda y: lower(y)), lower(x)) = i) ELSE [] END AS key_points,
   CASE WHEN ok AND top <> '' THEN [CASE WHEN length(top) > 80 THEN rtrim(substring(top, 1, 80)) || '…' ELSE top END] ELSE [] END AS topics
 FROM (SELECT *, (list_filter(list_transform(list_concat(w, list_transform(w, lambda x: upper(x))), lambda x: trim(x)), lambda x: x <> ''))[1:8] AS kp FROM (
-  SELECT lang AS user_id, CAST(doc_id AS VARCHAR) AS document_id, doc_id % 4 <> 3 AS ok, trim(substring(c, 1, 700)) AS tl, string_split(c, ' ')[1:12] AS w, trim(substring(c, 1, 100)) AS top
+  SELECT lang AS user_id, CAST(doc_id AS VARCHAR) AS document_id, doc_id % 4 <> 3 AS ok, trim(c) AS tl, string_split(c, ' ') AS w, trim(c) AS top
   FROM (SELECT *, regexp_replace(text, '["\\\n]', ' ', 'g') AS c FROM documents)))
 """)
 

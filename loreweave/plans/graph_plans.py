@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import canonical_predicate
+from loreweave.functions.text import PREDICATE_ALIASES, canonical_predicate
 from loreweave.operators import graph_expand as gx
 from loreweave.operators import graph_store as gs
 from loreweave.plans.registry import plan, table
@@ -433,3 +433,23 @@ SELECT raw, CASE trim(regexp_replace(regexp_replace(lower(trim(raw)), '\\s+', '
 def a3(t):
     raw = t.raw_edges.select(F.col("relation").alias("raw"), canonical_predicate(F.col("relation")).alias("relation"))
     return raw.groupBy("raw", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PHRASES = sorted(PREDICATE_ALIASES) + ["knows", "part of"]
+_FORMS = "[x, upper(x), '  ' || replace(x, ' ', '   ') || ' ', x || '.)', x || '?!']"
+
+
+@plan("a3_all_predicates", f"""
+WITH said AS (SELECT document_id, l_linenumber, unnest(list_transform({_PHRASES!r}, lambda p: p)) AS x FROM order_lines WHERE l_linenumber = 1),
+forms AS (SELECT document_id, unnest({_FORMS}) AS raw FROM said)
+SELECT raw, coalesce(m.b, k) AS relation, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT raw, regexp_replace(trim(regexp_replace(lower(raw), '\\s+', ' ', 'g')), '[.,;:!?''"()\\[\\]]+$', '') AS k FROM forms)
+LEFT JOIN (SELECT unnest({sorted(PREDICATE_ALIASES)!r}) AS a, unnest({[PREDICATE_ALIASES[k] for k in sorted(PREDICATE_ALIASES)]!r}) AS b) m ON m.a = k GROUP BY 1, 2
+""", ("order_lines",))
+def a3b(t):
+    """Every alias in every spelling, once an order."""
+    said = t.order_lines.filter("l_linenumber = 1").select("document_id", F.explode(F.array(*[F.lit(p) for p in _PHRASES])).alias("x"))
+    x = F.col("x")
+    forms = F.array(x, F.upper(x), F.concat(F.lit("  "), F.replace(x, F.lit(" "), F.lit("   ")), F.lit(" ")), F.concat(x, F.lit(".)")), F.concat(x, F.lit("?!")))
+    raw = said.select(F.explode(forms).alias("raw"))
+    return raw.select("raw", canonical_predicate(F.col("raw")).alias("relation")).groupBy("raw", "relation").agg(F.count(F.lit(1)).alias("n"))

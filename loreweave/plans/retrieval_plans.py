@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loreweave.functions import text as tx
 from loreweave.functions.vectors import embed
 from loreweave.operators import chunking, evals, index, retrieval
-from loreweave.plans.registry import plan
+from loreweave.plans.registry import plan, table
 from loreweave.session import cut_lineage
 
 
@@ -31,8 +31,8 @@ length(s) > 0 AND length(s) <= 100 AND (regexp_matches(s, '^#{1,6}\s+\S') OR reg
 """
 # Lines of the numbered-page texts plus variants of each line that exercise every heading form.
 C1_VARIANTS = r"""
-SELECT user_id, document_id, pos, unnest([line, '# ' || substring(line, 1, 40), pos || '.2 Section ' || substring(line, 1, 20),
-  '  --- SLIDE ' || pos || ' ---  ', upper(replace(substring(line, 1, 30), 'ß', 'ss')), pos || ' lower']) AS line FROM (
+SELECT user_id, document_id, pos, unnest([line, '# ' || line, pos || '.2 Section ' || line,
+  '  --- SLIDE ' || pos || ' ---  ', upper(replace(line, 'ß', 'ss')), pos || ' lower']) AS line FROM (
   SELECT lang AS user_id, CAST(doc_id AS VARCHAR) AS document_id, unnest(range(1, len(string_split(text, E'\n')) + 1)) AS pos, unnest(string_split(text, E'\n')) AS line FROM documents)
 """
 
@@ -46,8 +46,8 @@ def c1(t):
     )
     pos, line = (F.col("p") + 1).cast("string"), F.col("l")
     forms = F.array(
-        line, F.concat(F.lit("# "), F.substring(line, 1, 40)), F.concat(pos, F.lit(".2 Section "), F.substring(line, 1, 20)),
-        F.concat(F.lit("  --- SLIDE "), pos, F.lit(" ---  ")), F.upper(F.replace(F.substring(line, 1, 30), F.lit('ß'), F.lit('ss'))), F.concat(pos, F.lit(" lower")),
+        line, F.concat(F.lit("# "), line), F.concat(pos, F.lit(".2 Section "), line),
+        F.concat(F.lit("  --- SLIDE "), pos, F.lit(" ---  ")), F.upper(F.replace(line, F.lit('ß'), F.lit('ss'))), F.concat(pos, F.lit(" lower")),
     )
     rows = lines.select("user_id", "document_id", (F.col("p") + 1).cast("long").alias("pos"), F.explode(forms).alias("line"))
     return rows.withColumn("heading", tx.is_heading(F.col("line")))
@@ -60,7 +60,7 @@ SELECT lang AS user_id, CAST(doc_id AS VARCHAR) AS document_id,
 """
 
 
-@plan("c2_section_split", rf"""
+table("sections", rf"""
 WITH lines AS (
   SELECT user_id, document_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM (
     SELECT user_id, document_id, list_transform(string_split(extracted_text, E'\n'), lambda x, i: CASE WHEN i < len(string_split(extracted_text, E'\n')) THEN x || E'\n' ELSE x END) AS l FROM ({MARKED}))),
@@ -71,6 +71,9 @@ SELECT user_id, document_id, CAST(section AS BIGINT) AS section, coalesce(max(CA
   CAST(min(e - length(line)) AS BIGINT) AS source_start, CAST(max(e) AS BIGINT) AS source_end
 FROM run GROUP BY 1, 2, 3 HAVING coalesce(max(CASE WHEN head THEN s END), '') <> '' OR trim(coalesce(string_agg(CASE WHEN NOT head THEN line END, '' ORDER BY pos), ''), E' \n') <> ''
 """)
+
+
+@plan("c2_section_split", "SELECT * FROM sections", ("sections",))
 def c2(t):
     return chunking.parse_sections(t.marked)
 
@@ -115,41 +118,32 @@ def c3(t):
     )
 
 
-# Page bodies of the numbered-page texts, each with its own body budget.
+# Bodies of all sections of the numbered-page texts, each with its own body budget.
 PAGE_SQL = r"""
-SELECT row_number() OVER () AS k, document_id, pos, heading, body, CAST(length(body) AS BIGINT) AS n, greatest(500 - length(heading) - 1, 100) AS size FROM (
-  SELECT document_id, pos, '--- page ' || pos || ' ---' AS heading, trim(CASE WHEN pos < total THEN line || E'\n\n' ELSE line END, E'\n') AS body FROM (
-    SELECT CAST(doc_id AS VARCHAR) AS document_id, len(string_split(lower(text), E'\n')) AS total,
-      unnest(range(1, len(string_split(text, E'\n')) + 1)) AS pos, unnest(string_split(lower(text), E'\n')) AS line FROM documents))
+SELECT row_number() OVER () AS k, user_id, document_id, section, content AS body, CAST(length(content) AS BIGINT) AS n, CASE WHEN heading = '' THEN '' ELSE heading || E'\n' END AS prefix,
+  source_start, greatest(500 - length(CASE WHEN heading = '' THEN '' ELSE heading || E'\n' END), 100) AS size FROM sections
 """
 CHUNK_SQL = SPLIT_SQL.format(bodies=PAGE_SQL, overlap=50)
 
 
-def _lower_marked(t):
-    return t.marked.withColumn("extracted_text", F.lower("extracted_text"))
-
-
 @plan("c4_chunk_text", CHUNK_SQL + r"""
-SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY pos, j) - 1 AS BIGINT) AS chunk_index,
-  md5(heading || E'\n' || substring(body, w.s + 1, w.e - w.s)) AS text_md5, CAST(w.e - w.s AS BIGINT) AS span
+SELECT user_id, document_id, CAST(row_number() OVER (PARTITION BY user_id, document_id ORDER BY section, j) - 1 AS BIGINT) AS chunk_index, md5(prefix || substring(body, w.s + 1, w.e - w.s)) AS text_md5,
+  source_start + length(prefix) + w.s AS char_start, source_start + length(prefix) + w.e AS char_end
 FROM w JOIN bodies b ON b.k = w.k WHERE w.j >= 0
-""")
+""", ("sections",))
 def c4(t):
-    rows = chunking.chunk(_lower_marked(t))
-    return rows.select(
-        "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("text").alias("text_md5"),
-        (F.col("char_end") - F.col("char_start")).alias("span"),
-    )
+    rows = chunking.chunk(t.marked)
+    return rows.select("user_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("text").alias("text_md5"), "char_start", "char_end")
 
 
 @plan("p2_meaningful_chunks", CHUNK_SQL + r"""
 SELECT document_id, chunk_index, md5(text) AS text_md5 FROM (
-  SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY pos, j) - 1 AS BIGINT) AS chunk_index, count(*) OVER (PARTITION BY document_id) AS raw,
-    heading || E'\n' || substring(body, w.s + 1, w.e - w.s) AS text FROM w JOIN bodies b ON b.k = w.k WHERE w.j >= 0)
+  SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY section, j) - 1 AS BIGINT) AS chunk_index, count(*) OVER (PARTITION BY document_id) AS raw,
+    prefix || substring(body, w.s + 1, w.e - w.s) AS text FROM w JOIN bodies b ON b.k = w.k WHERE w.j >= 0)
 WHERE raw <= 1 OR length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 80
-""")
+""", ("sections",))
 def p2(t):
-    rows = chunking.chunk(_lower_marked(t), drop_noise=True)
+    rows = chunking.chunk(t.marked, drop_noise=True)
     return rows.select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("text").alias("text_md5"))
 
 
@@ -304,14 +298,37 @@ def snippet_sql(source, text, query, keys, out, width):
     return SNIPPET_SQL.format(source=source, text=text, query=query, keys=keys, out=out, width=width, stop=" ".join(tx.STOPWORDS))
 
 
+def _keywords(c):
+    ws = F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) > 0))
+    ranked = F.array_sort(F.transform(ws, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.transform(F.slice(ranked, 1, 3), lambda x: x["w"])
+
+
+KEYWORDS = r"""SELECT item_id AS query_id, list_transform(list_sort(list_transform(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: length(w) > 0)),
+  lambda w: {'n': -length(w), 'w': w}))[1:3], lambda x: x.w) AS kw, text FROM benchmark"""
+
+
+MET = rf"""SELECT DISTINCT w.doc_id, k.query_id FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^\p{{L}}]+'))) AS word FROM documents) w
+  JOIN (SELECT query_id, unnest(kw) AS word FROM ({KEYWORDS})) k USING (word)"""
+
+
+def _met(t):
+    """Documents and the questions one of whose keywords they hold as a word."""
+    words = t.raw("documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
+    asked = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.explode(_keywords(F.col("text"))).alias("word"))
+    return words.join(asked, "word").select("doc_id", "query_id").distinct()
+
+
 @plan("f1_snippet", snippet_sql(
-    "SELECT d.doc_id, q.item_id, d.text, CASE WHEN q.item_id % 2 = 0 THEN substring(q.text, 1, 40) ELSE 'the, of (and) xyzq' END AS q FROM documents d JOIN benchmark q ON d.doc_id % 40 = q.item_id % 40 ",
+    f"SELECT m.doc_id, m.query_id AS item_id, d.text, q.text AS q FROM ({MET}) m JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = m.query_id "
+    "UNION ALL SELECT doc_id, -1, text, 'the, of (and) xyzq' FROM documents",
     "text", "q", "doc_id, item_id", "snippet", 280))
 def f1(t):
-    d, q = t.raw("documents"), t.raw("benchmark").select("item_id", F.col("text").alias("q"))
-    rows = d.join(q, F.col("doc_id") % 40 == F.col("item_id") % 40)
-    asked = F.when(F.col("item_id") % 2 == 0, F.substring("q", 1, 40)).otherwise("the, of (and) xyzq")
-    return rows.select("doc_id", "item_id", tx.snippet(F.col("text"), asked, 280).alias("snippet"))
+    d = t.raw("documents").select("doc_id", "text")
+    q = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    rows = _met(t).join(d, "doc_id").join(q, "query_id").select("doc_id", F.col("query_id").alias("item_id"), "text", "q")
+    rows = rows.unionByName(d.withColumn("item_id", F.lit(-1).cast("long")).withColumn("q", F.lit("the, of (and) xyzq")))
+    return rows.select("doc_id", "item_id", tx.snippet(F.col("text"), F.col("q"), 280).alias("snippet"))
 
 
 @plan("p5_chunk_citations", snippet_sql(
@@ -350,16 +367,6 @@ def _expected(t):
     return met.join(whole, "document_id").filter(F.contains("text", F.col("item"))).select("query_id", "document_id").distinct()
 
 
-def _keywords(c):
-    ws = F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) > 0))
-    ranked = F.array_sort(F.transform(ws, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return F.transform(F.slice(ranked, 1, 3), lambda x: x["w"])
-
-
-KEYWORDS = r"""SELECT item_id AS query_id, list_transform(list_sort(list_transform(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: length(w) > 0)),
-  lambda w: {'n': -length(w), 'w': w}))[1:3], lambda x: x.w) AS kw, text FROM benchmark"""
-
-
 @plan("e1_recall_at_k", f"""
 SELECT q.query_id, round(CASE WHEN e.n IS NULL THEN 1.0 ELSE coalesce(h.n, 0) / e.n END, 6) AS recall FROM questions q
 LEFT JOIN (SELECT query_id, CAST(count(DISTINCT document_id) AS DOUBLE) AS n FROM ({EXPECTED}) GROUP BY 1) e USING (query_id)
@@ -375,11 +382,11 @@ def e1(t):
 
 @plan("e2_keyword_coverage", f"""
 SELECT doc_id, query_id, round(CASE WHEN len(kw) = 0 THEN 1.0 ELSE len(list_filter(kw, lambda k: contains(lower(d.text), k))) / CAST(len(kw) AS DOUBLE) END, 6) AS coverage
-FROM documents d JOIN ({KEYWORDS}) k ON d.doc_id % 40 = k.query_id % 40
+FROM ({MET}) m JOIN documents d USING (doc_id) JOIN ({KEYWORDS}) k USING (query_id)
 """)
 def e2(t):
     items = t.raw("benchmark").select(F.col("item_id").alias("query_id"), _keywords(F.col("text")).alias("kw"))
-    rows = t.raw("documents").join(items, F.col("doc_id") % 40 == F.col("query_id") % 40)
+    rows = _met(t).join(t.raw("documents").select("doc_id", "text"), "doc_id").join(items, "query_id")
     return rows.select("doc_id", "query_id", F.round(evals.keyword_coverage(F.col("kw"), F.col("text")), 6).alias("coverage"))
 
 

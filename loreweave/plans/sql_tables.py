@@ -174,7 +174,7 @@ SELECT CAST(conv_id % 10 AS VARCHAR) AS user_id, conv_id AS chat_id,
     WHEN contains(substring(t, 1, 60), ' ') AND 60 - instr(reverse(substring(t, 1, 60)), ' ') > 30
       THEN rtrim(substring(t, 1, 60 - instr(reverse(substring(t, 1, 60)), ' '))) || '…'
     ELSE rtrim(substring(t, 1, 60)) || '…' END AS title,
-  CASE WHEN conv_id % 4 = 1 THEN substring(last, 1, 120) END AS summary,
+  CASE WHEN conv_id % 4 = 1 THEN last END AS summary,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) AS created_at, TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) AS updated_at
 FROM (SELECT conv_id, arg_max(text, turn) AS last,
         trim(regexp_replace(coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), ''), '\s+', ' ', 'g')) AS t

@@ -101,9 +101,7 @@ def split_sql(size, overlap):
 
 
 @plan("c3_window_split", split_sql(500, 50) + r"""
-SELECT b.document_id, CAST(count(*) AS BIGINT) AS pieces, CAST(sum(w.s) AS BIGINT) AS start_sum, CAST(sum(w.e) AS BIGINT) AS end_sum, CAST(max(w.e) AS BIGINT) AS last_end,
-  CAST(sum(w.s * (w.j % 97)) AS BIGINT) AS order_sum
-FROM w JOIN bodies b ON b.k = w.k WHERE w.j >= 0 GROUP BY 1
+SELECT b.document_id, w.j AS chunk_index, w.s AS char_start, w.e AS char_end FROM w JOIN bodies b ON b.k = w.k WHERE w.j >= 0
 """)
 def c3(t):
     # Lower-cased texts have no heading lines, so each document is one anonymous section.
@@ -112,10 +110,7 @@ def c3(t):
         F.btrim(F.lower("text"), F.lit("\n")).alias("extracted_text"),
     )
     rows = chunking.chunk(plain)
-    return rows.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("pieces"), F.sum("char_start").alias("start_sum"), F.sum("char_end").alias("end_sum"), F.max("char_end").alias("last_end"),
-        F.sum(F.col("char_start") * (F.col("chunk_index") % 97)).alias("order_sum"),
-    )
+    return rows.select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "char_start", "char_end")
 
 
 # Bodies of all sections of the numbered-page texts, each with its own body budget.

@@ -99,10 +99,10 @@ SELECT user_id AS query_id, string_agg('- ' || filename || CASE WHEN trim(tldr,
 table("fact_lines", r"""
 SELECT user_id AS query_id, name, seed, coalesce(max(fd), '') AS descr, string_agg(CASE WHEN distance > 1 THEN '    ↝ ' || chain || ' ' || other || '   (' || distance || '-hop)' ELSE '    → ' || chain || ' ' || other END, E'\n' ORDER BY rank) AS lines,
   string_agg(CASE WHEN rank <= 6 THEN '    → ' || chain || ' ' || other END, E'\n' ORDER BY rank) AS short_lines
-FROM (SELECT f.*, NULL AS fd FROM facts f) GROUP BY 1, 2, 3
-""", ("facts",))
+FROM (SELECT f.*, nullif(trim(e.description, E' \n'), '') AS fd FROM facts f JOIN entities e ON e.user_id = f.user_id AND e.name_lower = f.seed) GROUP BY 1, 2, 3
+""", ("facts", "entities"))
 table("graph_block", r"""
-SELECT query_id, string_agg('- ' || name || ' (Concept)' || coalesce(E'\n' || lines, ''), E'\n' ORDER BY seed) AS graph FROM fact_lines GROUP BY 1
+SELECT query_id, string_agg('- ' || name || ' (Concept)' || CASE WHEN descr <> '' THEN ': ' || descr ELSE '' END || coalesce(E'\n' || lines, ''), E'\n' ORDER BY seed) AS graph FROM fact_lines GROUP BY 1
 """, ("fact_lines",))
 
 
@@ -207,7 +207,7 @@ SELECT q.query_id, E'Answer to verify:\n' || CASE WHEN length(q.answer) > 4000 T
   E'\n\nWeb results:\n' || coalesce(CASE WHEN length(w.x) > 4000 THEN substring(w.x, 1, 4000) || '…' ELSE w.x END, '(no web results)') AS message
 FROM (SELECT doc_id AS query_id, text AS answer FROM documents) q
 LEFT JOIN (SELECT query_id, string_agg('[' || d.rank || '] ' || trim(p.text, E' \n'), E'\n\n' ORDER BY d.rank) AS x FROM diversified d JOIN passages p USING (chunk_id) GROUP BY 1) c USING (query_id)
-LEFT JOIN (SELECT CAST(substring(query_id, 2) AS BIGINT) AS query_id, string_agg('- ' || name || ' (Concept)' || coalesce(E'\n' || short_lines, ''), E'\n' ORDER BY seed) AS x FROM fact_lines GROUP BY 1) g USING (query_id)
+LEFT JOIN (SELECT CAST(substring(query_id, 2) AS BIGINT) AS query_id, string_agg('- ' || name || ' (Concept)' || CASE WHEN descr <> '' THEN ': ' || descr ELSE '' END || coalesce(E'\n' || short_lines, ''), E'\n' ORDER BY seed) AS x FROM fact_lines GROUP BY 1) g USING (query_id)
 LEFT JOIN (SELECT query_id, string_agg('[W' || rank || '] ' || title || ' — ' || url || ': ' || content, E'\n\n' ORDER BY rank) AS x FROM web_clean GROUP BY 1) w USING (query_id)
 """
 

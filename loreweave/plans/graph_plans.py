@@ -147,14 +147,12 @@ WHERE t.other_lower <> h.seed AND NOT EXISTS (SELECT 1 FROM {prefix}hop1 x WHERE
     table(f"{prefix}facts", FACTS.format(seeds=seeds, p=prefix), (f"{prefix}hop1", f"{prefix}hop2", "entities", *uses))
 
 
-NATIONS = "SELECT user_id, name_lower, name FROM entities WHERE type = 'Location'"
-fact_tables("", NATIONS, ("entities",))
-fact_tables("all_", "SELECT user_id, name_lower, name FROM entities", ("entities",))
+fact_tables("", "SELECT user_id, name_lower, name FROM entities", ("entities",))
 
 
 @plan("k8_multi_hop_facts", """
-SELECT user_id, name, coalesce(other, '') AS other, coalesce(other_type, '') AS other_type, CAST(coalesce(distance, 0) AS BIGINT) AS distance, coalesce(chain, '') AS chain, CAST(coalesce(rank, 0) AS BIGINT) AS rank FROM all_facts
-""", ("all_facts",))
+SELECT user_id, name, coalesce(other, '') AS other, coalesce(other_type, '') AS other_type, CAST(coalesce(distance, 0) AS BIGINT) AS distance, coalesce(chain, '') AS chain, CAST(coalesce(rank, 0) AS BIGINT) AS rank FROM facts
+""", ("facts",))
 def k8(t):
     seeds = t.entities.select("user_id", F.upper("name").alias("name"))
     rows = gs.entity_facts(seeds, t.entities, t.edges, hops=2)
@@ -333,11 +331,11 @@ def k15(t):
     return ranked(_expanded(t)).select("query_id", "name", "type", "description", "rank", F.array_join(line, "; ").alias("facts"))
 
 
-# Facts of Location seeds as the answer of one question per user; nodes take the better description.
+# Facts of all seeds as the answer of one question per user; nodes take the better description.
 def _answer_facts(t):
     from pyspark.sql import Window
 
-    seeds = t.entities.filter("type = 'Location'").select("user_id", "name")
+    seeds = t.entities.select("user_id", "name")
     rows = gs.entity_facts(seeds, t.entities, t.edges, hops=2)
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy("name_lower"))
     # Direction follows the hop parity so that both readings occur.
@@ -350,10 +348,10 @@ def _answer_facts(t):
 
 @plan("k16_answer_nodes", """
 SELECT query_id, name, coalesce(arg_min(type, o) FILTER (WHERE type <> 'Concept'), 'Concept') AS type, coalesce(arg_min(description, o) FILTER (WHERE description <> ''), '') AS description FROM (
-  SELECT user_id AS query_id, name, 'Concept' AS type, '' AS description, 0 AS o FROM facts
-  UNION ALL SELECT user_id, other, other_type, coalesce(other_description, ''), 1000000 + dense_rank() OVER (PARTITION BY user_id ORDER BY seed) * 100 + rank FROM facts WHERE other IS NOT NULL)
+  SELECT user_id AS query_id, name, 'Concept' AS type, coalesce(description, '') AS description, row_number() OVER (PARTITION BY user_id ORDER BY name_lower) AS o FROM entities
+  UNION ALL SELECT user_id, other, other_type, coalesce(other_description, ''), 1000000000 + dense_rank() OVER (PARTITION BY user_id ORDER BY seed) * 100 + rank FROM facts WHERE other IS NOT NULL)
 GROUP BY 1, 2
-""", ("facts",))
+""", ("facts", "entities"))
 def k16a(t):
     return gx.answer_subgraph(_answer_facts(t))[0]
 

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-size blocks.
 
 A source's target is its share of the mix, stopped at a multiple of its own size. The whole mix is cut into blocks of
-equal words, and the blocks go to the sources with the highest quotients target / (2k + 1). A source's documents are
+equal words (smaller ones where a source is small), and the blocks go to the sources with the highest quotients target / (2k + 1). A source's documents are
 dealt by a seeded hash to shards of bounded size; a shard's integer quota is its own Sainte-Laguë rounding at its source's
 divisor. In a shard the documents stand on a ring in seeded order, and its quota takes whole rounds and then the blocks
 that follow a seeded start. Source totals are the only thing gathered, one row a source.
@@ -16,6 +16,7 @@ from loreweave.llm.common import store
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 32  # words
+SEATS = 8  # of the smallest source at least, by smaller blocks
 SHARD = 65_536  # words of a shard, about
 WEIGHTS = (5, 2, 1)
 
@@ -115,6 +116,8 @@ def mix(
     slim, _ = store(docs.select(*columns))
     totals, _ = store(slim.groupBy("_source").agg(F.sum("_size").alias("_words")))
     sources, total = targets(totals, weights, share, most)
+    least = sources.filter("_target > 0").agg(F.min("_target")).first()[0]
+    block = max(1, min(block, int((least or 0) // SEATS)))  # so that the smallest source has some seats to choose from
     quotas, _ = store(
         seats(sources.drop("_at"), "_target", round(total / block), F.col("_source")).select(
             F.col("_source").alias("_of"), "_words", "_target", "_seats"
@@ -130,11 +133,11 @@ def mix(
         "_after", F.sum("_size").over(ring.orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
     size, whole = F.col("_size"), F.col("_all")
-    quota = F.floor(F.col("_seats") * (whole / F.col("_words")) + 0.5) * block
+    quota = F.floor(F.col("_seats") * (whole / F.greatest(F.lit(1), F.col("_words"))) + 0.5) * block
     spend = F.least(quota, F.floor(whole * F.lit(most))).cast("long")
     start = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_source"), F.col("_shard")), F.greatest(F.lit(1), F.ceil(whole / block))) * block
     placed = placed.select(
-        "*", F.when(whole > 0, F.floor(spend / whole)).otherwise(0).cast("long").alias("_rounds"), (F.col("_after") - size).alias("_first"),
+        "*", F.when(whole > 0, F.floor(spend / F.greatest(F.lit(1), whole))).otherwise(0).cast("long").alias("_rounds"), (F.col("_after") - size).alias("_first"),
         F.least(start, whole).cast("long").alias("_start"), spend.alias("_spend"),
     )
     rest = F.col("_spend") - F.col("_rounds") * whole

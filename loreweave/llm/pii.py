@@ -100,7 +100,11 @@ def _text(value: Column, key: str, kind: str) -> Column:
     step = lambda s, i: F.when(i % 2 == 1, pair(shift(s["x"], s["y"], i), s["y"])).otherwise(pair(s["x"], shift(s["y"], s["x"], i)))
     start = pair(F.substring(value, 1, half), F.substring(value, half + 1, F.length(value)))
     mixed = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, step, lambda s: F.concat(s["x"], s["y"]))
-    return F.when(F.length(value) < 2, value).otherwise(mixed)
+    # A single character moves by a step that is never a whole turn.
+    size = F.when(value.rlike("[0-9]"), 10).otherwise(26)
+    base = F.when(value.rlike("[a-z]"), 97).when(value.rlike("[A-Z]"), 65).when(value.rlike("[0-9]"), 48)
+    moved = F.char(F.pmod(F.ascii(value) - base + 1 + _secret(key, kind, F.lit("one")) % (size - 1), size) + base)
+    return F.when(F.length(value) < 2, F.coalesce(moved, value)).otherwise(mixed)
 
 
 def _card(m: Column, key: str) -> tuple[Column, Column]:
@@ -217,7 +221,7 @@ def _key(m: Column, key: str) -> tuple[Column, Column]:
 
 
 def _pseudonym(m: Column, key: str) -> Column:
-    """Struct of kind and pseudonym of a candidate; a null kind and the candidate itself where it isn't valid."""
+    """Struct of kind and pseudonym of a candidate; a null kind and the candidate itself where it isn't valid or its pseudonym is itself."""
     makers = {
         "email": _email(m, key), "key": _key(m, key), "ipv4": _ipv4(m, key), "phone": _phone(m, key), "ssn": _ssn(m, key),
         "ymd": _date(m, "ymd", key), "mdy": _date(m, "mdy", key), "dmy": _date(m, "dmy", key), "card": _card(m, key),
@@ -225,7 +229,7 @@ def _pseudonym(m: Column, key: str) -> Column:
     rest = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text"))
     for kind, (valid, text) in reversed(makers.items()):
         name = "date" if kind in ("ymd", "mdy", "dmy") else kind
-        found = F.struct(F.lit(name).alias("kind"), text.alias("text"))
+        found = F.struct(F.when(text != m, name).alias("kind"), text.alias("text"))
         rest = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), F.when(F.coalesce(valid, F.lit(False)), found).otherwise(
             F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text")))).otherwise(rest)
     return rest

@@ -31,7 +31,7 @@ def op2_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, root: str) -> DataFrame:
-    return chat_format.repair(read(spark, root, "conversations")).drop("place")
+    return chat_format.repair(read(spark, root, "conversations"))
 
 
 PII_KEY = "example key; give your own from a secret store"

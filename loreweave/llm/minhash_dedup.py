@@ -23,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import mix64, runs, store
+from loreweave.llm.common import by_bytes, mix64, runs, store
 from loreweave.operators.components import components
 
 ROWS, BANDS = 5, 26  # a pair at similarity 0.85 shares no band with probability (1 - 0.85^5)^26 = 2e-7
 BATCH, BATCHES = 32, 4  # hashes compared at a time, and how many times at most
 MISS = 1e-7  # posterior probability of being similar enough at which a pair is given up
 GROUP = 256  # members that meet at once
+COPIES = 4 << 20  # bytes of sets that a task sends at once
 SLOTS = 1 << 20  # of the broadcast table that thins texts
 _ORDER = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -40,12 +41,12 @@ def _constants(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Words(dict):
-    """Word -> hash, of a worker; emptied when full."""
+    """Word -> hash, of a worker; emptied when full and at the end of a task."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 48:
-            if len(self) >= 400_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = h
         return h
@@ -98,7 +99,7 @@ def fewest(similar: float, miss: float, batch: int, batches: int) -> tuple[int,
 
 def _profile(batches: Iterable[pa.RecordBatch], size: int, rows: int, bands: int) -> Iterator[pa.RecordBatch]:
     salt = np.arange(1, bands + 1, dtype=np.uint64) * _ORDER[0]
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, "_text")):
         sizes, high, low, keys = [], [], [], []
         for text in batch.column("_text"):
             s = shingles(text.as_py(), size)
@@ -122,21 +123,30 @@ def _profile(batches: Iterable[pa.RecordBatch], size: int, rows: int, bands: int
             ],
             names=["_id", "_n", "_high", "_low", "_keys"],
         )
+    _words.clear()
 
 
 def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The shingle set of each document, once for each of its groups."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 64):
-            batch = whole.slice(at, 64)
-            sets = pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column("_text")], pa.binary())
-            groups = batch.column("groups")
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), groups.value_lengths().to_numpy(zero_copy_only=False)))
-            flat = groups.flatten()
+    """The shingle set of each document, once for each of its groups; at most ``COPIES`` bytes of sets, or one set, at a time."""
+    for batch in (part for whole in batches for part in by_bytes(whole, "_text", rows=64)):
+        sets = [shingles(t.as_py(), size).tobytes() for t in batch.column("_text")]
+        groups = batch.column("groups")
+        rows = np.repeat(np.arange(batch.num_rows), groups.value_lengths().to_numpy(zero_copy_only=False))
+        flat = groups.flatten()
+        total = np.cumsum(np.array([len(x) for x in sets], np.int64)[rows])
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + COPIES, side="right")))
+            some, at = flat.slice(a, b - a), rows[a:b]
             yield pa.RecordBatch.from_arrays(
-                [flat.field("group"), batch.column("id").take(rows), flat.field("role"), flat.field("part"), sets.take(rows)],
+                [
+                    some.field("group"), batch.column("id").take(pa.array(at)), some.field("role"), some.field("part"),
+                    pa.array([sets[i] for i in at.tolist()], pa.binary()),
+                ],
                 names=["group", "id", "role", "part", "set"],
             )
+            a = b
+    _words.clear()
 
 
 class Forest:

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.llm.common import by_bytes
+
 MARK = "▁"
 NEVER = float("-inf")
 INNER, NONE = -1, -2  # not a piece but the ending of one; no piece ends so
 MAX_KEY = 40  # characters of a word that is kept in the cache
-CACHE = 1_000_000  # words in a worker's cache
+CACHE = 300_000  # words in a worker's cache
 
 _worker: dict[str, Codec] = {}
 
@@ -170,6 +172,12 @@ class Codec:
             before = word
             yield word, tuple(chain.from_iterable(map(self._ids, reversed(out))))
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker holds the vocabulary only."""
+        self.cache.clear()
+        self.step.clear()
+        self.merges.clear()
+
     def words(self, text: str) -> list[str]:
         return self.split.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -178,10 +186,8 @@ class Codec:
         cache = self.cache
         new = {w for w in set(chain.from_iterable(texts)) if w not in cache}
         if len(cache) + len(new) > CACHE:
-            cache.clear()
+            self.forget()
             new = set(chain.from_iterable(texts))
-            self.step.clear()
-            self.merges.clear()
         cache.update(self.forward(sorted(new)))
         out = [list(chain.from_iterable(map(cache.__getitem__, t))) for t in texts]
         for w in new:
@@ -226,7 +232,7 @@ def codec(path: str) -> Codec:
     return _worker[path]
 
 
-CHUNK = 1 << 20  # characters whose words are encoded together
+CHUNK = 1 << 19  # characters whose words are encoded together
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
@@ -243,7 +249,7 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
 
 def _encode(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     coder = codec(path)
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, "_text")):
         ids = batch.column("_id")
         done = 0
         texts = [t or "" for t in batch.column("_text").to_pylist()]
@@ -261,6 +267,7 @@ def _encode(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                 names=["_id", "ids", "n_tokens", "round_trip"],
             )
             done += len(group)
+    coder.forget()
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.llm.common import by_bytes
+
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 BEGINNINGS = (4, 5, 6)
@@ -41,7 +43,7 @@ class Model:
 
 def _screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class that hold a feature, counted per batch."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, "_text")):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist()):
             found: set[str] = set()
@@ -55,19 +57,19 @@ def _screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _instances(batches: Iterable[pa.RecordBatch], known: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """The feature numbers of each sentence that has any."""
-    for batch in batches:
-        out = []
+    """The feature numbers of the sentences that have any, and how many each has, as bytes of 32-bit numbers."""
+    for batch in (part for whole in batches for part in by_bytes(whole, "_text")):
+        flat, sizes = [], []
         for text in batch.column("_text").to_pylist():
             bag = []
             for s in _SENTENCE.findall((text or "").lower()):
                 have = {known[f] for w in set(_WORD.findall(s)) for f in features(w) if f in known}
                 if have:
                     bag.append(sorted(have))
-            out.append(bag)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_id").cast(pa.string()), batch.column("_toxic"), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["id", "toxic", "bag"]
-        )
+            flat.append(np.fromiter((i for s in bag for i in s), np.int32).tobytes())
+            sizes.append(np.array([len(s) for s in bag], np.int32).tobytes())
+        columns = [batch.column("_id").cast(pa.string()), batch.column("_toxic"), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "toxic", "sizes", "flat"])
 
 
 def sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> DataFrame:
@@ -98,20 +100,24 @@ def fit(
     picked = counts.filter((F.col("toxic") >= min_docs) & (z > 3)).select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(n_features).collect()
     names = [r["feature"] for r in picked]
     known = {f: i for i, f in enumerate(names)}
-    bags = rows.mapInArrow(lambda it: _instances(it, known), "id string, toxic int, bag array<array<int>>").collect() if names else []
-    return train(names, sorted((r["id"], r["toxic"], r["bag"]) for r in bags), l2=l2, steps=steps)
+    bags = rows.mapInArrow(lambda it: _instances(it, known), "id string, toxic int, sizes binary, flat binary").collect() if names else []
+    return train(names, sorted((r["id"], r["toxic"], bytes(r["sizes"]), bytes(r["flat"])) for r in bags), l2=l2, steps=steps)
 
 
-def train(names: list[str], bags: list[tuple[str, int, list[list[int]]]], *, l2: float, steps: int) -> Model:
-    """Maximum likelihood of the noisy-or over bags of sentences, by Adam over all of them; the classes weigh the same."""
+def train(names: list[str], bags: list[tuple[str, int, bytes, bytes]], *, l2: float, steps: int) -> Model:
+    """Maximum likelihood of the noisy-or over bags of sentences, by Adam over all of them; the classes weigh the same.
+
+    A bag has an id, a label, and the bytes of its sentences' sizes and feature numbers.
+    """
     bags = [b for b in bags if b[2]]
     if not any(b[1] for b in bags):
         return Model({}, -5.0)
     label = np.array([b[1] for b in bags])
-    bag_of = np.repeat(np.arange(len(bags)), [len(b[2]) for b in bags])
-    lists = [s for b in bags for s in b[2]]
-    row = np.repeat(np.arange(len(lists)), [len(s) for s in lists])
-    col = np.fromiter((i for s in lists for i in s), np.int64)
+    sizes = [np.frombuffer(b[2], np.int32) for b in bags]
+    bag_of = np.repeat(np.arange(len(bags)), [len(s) for s in sizes])
+    lists = np.concatenate(sizes)
+    row = np.repeat(np.arange(len(lists)), lists)
+    col = np.frombuffer(b"".join(b[3] for b in bags), np.int32).astype(np.int64)
     weight = np.where(label == 1, 1.0 / max(1, label.sum()), 1.0 / max(1, (1 - label).sum())) * len(bags) / 2
     w = np.zeros(len(names) + 1)
     w[-1] = -3.0
@@ -130,17 +136,18 @@ def train(names: list[str], bags: list[tuple[str, int, list[list[int]]]], *, l2:
 
 
 class _Weights(dict):
-    """Word -> (weight of all its features, has any); filled on demand, at most ``most`` words."""
+    """Word -> (weight of all its features, has any); filled on demand, at most ``most`` words of bounded length."""
 
-    def __init__(self, model: Model, most: int = 500_000) -> None:
+    def __init__(self, model: Model, most: int = 200_000) -> None:
         super().__init__()
         self.model, self.most = model, most
 
     def __missing__(self, word: str) -> tuple[float, ...] | None:
         found = tuple(f for f in features(word) if f in self.model.weights) or None
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = found
+        if len(word) <= MAX_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -168,7 +175,7 @@ def score_text(text: str, known: _Weights) -> tuple[float, list[tuple[int, int,
 def _score(batches: Iterable[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     known = _Weights(model)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, "_text")):
         scores, spans = [], []
         for text in batch.column("_text"):
             p, found = score_text(text.as_py() or "", known)
@@ -195,7 +202,7 @@ def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Weights(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, text_col)):
             at = batch.schema.get_field_index(text_col)
             yield batch.filter(pa.array([score_text(t.as_py() or "", known)[0] < threshold for t in batch.column(at)], pa.bool_()))
 

@@ -131,3 +131,22 @@ def test_cut_lists_keep_the_nearest(spark):
             want = shortest(rows, "u", r["name_lower"], hops)
             order = sorted((d, names[int(o[1:])], o, c) for o, (d, c) in want.items() if names[int(o[1:])] != r["name"])[:3]
             assert [(x["distance"], x["other"], tuple(x["relation_chain"])) for x in r["relations"]] == [(d, n, c) for d, n, _, c in order], r
+
+
+def test_replies_are_parsed_in_one_pass(spark, monkeypatch):
+    from loreweave.functions import jsonrec
+    from loreweave.operators import extraction as ex
+
+    stored = []
+    monkeypatch.setattr(jsonrec, "cut_lineage", lambda df: stored.append(df) or df)
+    good, odd = '{"name":"A"},{"name":"B","type":"Person"}', 'null,5,"x",{"name":7},{"name":"C","type":null},{"name":"D","description":3},{"Name":"E"}'
+    one = ['{"entities":[%s]}', "```json\n" + '{"entities":[%s]}' + "\n```", 'so {"entities":[%s]} } ok', '{"entities":[%s]} {"a":1}']
+    two = '{"relationships":[{"source":"a","target":" b ","relation":"r"},7,null,{"source":"A","target":"B","relation":null},{"source":"A","target":"Z","relation":"r"}]}'
+    rows = [("u", "d", i, x % f"{good},{odd}", False, two, False) for i, x in enumerate(one)]
+    got = ex.chunk_results(spark.createDataFrame(
+        rows, "user_id string, document_id string, chunk_index int, pass1_raw string, pass1_failed boolean, pass2_raw string, pass2_failed boolean"
+    ))
+    want = [(0, "A", "Concept", ""), (1, "B", "Person", "")]
+    assert stored == []
+    for r in got.collect():
+        assert [tuple(e) for e in r["entities"]] == want and [tuple(x) for x in r["relationships"]] == [(0, "a", " b ", "r")]

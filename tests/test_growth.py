@@ -87,3 +87,17 @@ def test_relations_are_cleaned_once_a_name(spark, hops):
     got = [(r["query_id"], r["name"], r["relations"][0]["relation"], r["relations"][0]["other"]) for r in out.orderBy("query_id").collect()]
     assert got == [(1, "Bolt", "holds", "Ring"), (2, "Bolt", "holds", "Ring")]
     assert "transform(" not in plan_of(out)
+
+
+def test_snippets_are_not_stored_with_the_replies_of_pairs(spark, monkeypatch):
+    from loreweave.operators import extraction as ex
+
+    seen, real = [], ex.parse_reconciled
+    monkeypatch.setattr(ex, "parse_reconciled", lambda pairs: seen.append(pairs.columns) or real(pairs))
+    chunks = spark.createDataFrame([("u", "d", 0, "a knows b")], "user_id string, document_id string, chunk_index int, text string")
+    said = '{"entities":[{"name":"a"},{"name":"b"}]}'
+    extractor = lambda c: c.withColumns({"pass1_raw": F.lit(said), "pass1_failed": F.lit(False), "pass2_raw": F.lit("{}"), "pass2_failed": F.lit(False)})
+    asked = lambda p: p.withColumn("raw", F.concat(F.lit('{"relation":"'), "snippets_a", F.lit('","direction":"BA"}')))
+    _, relations, _ = ex.extract_graph(chunks, extractor, asked)
+    assert [(r["source"], r["target"], r["relation"]) for r in relations.collect()] == [("b", "a", "a knows b")]
+    assert seen == [["user_id", "document_id", "rank", "name_a", "name_b", "raw"]]

@@ -49,7 +49,7 @@ def test_highlight_reads_the_facts_once(spark):
     facts = spark.createDataFrame([(1, "Bolt"), (2, "Bolt")], "query_id int, name string")
     out = gx.highlight(answers, facts, spark.createDataFrame([], "query_id int, document_id string"))
     assert [(r["highlighted"], r["has_graph"]) for r in out.orderBy("query_id").collect()] == [(["Bolt"], True), ([], True), ([], False)]
-    assert plan_of(out, "analyzed").count("Aggregate") == 2
+    assert plan_of(out).count("Aggregate") == 2
 
 
 def test_repeated_rows_are_walked_once(spark):

@@ -101,3 +101,15 @@ def test_snippets_are_not_stored_with_the_replies_of_pairs(spark, monkeypatch):
     _, relations, _ = ex.extract_graph(chunks, extractor, asked)
     assert [(r["source"], r["target"], r["relation"]) for r in relations.collect()] == [("b", "a", "a knows b")]
     assert seen == [["user_id", "document_id", "rank", "name_a", "name_b", "raw"]]
+
+
+def test_facts_of_two_hops_store_three_tables(spark, monkeypatch):
+    seen, real = [], gs.cut_lineage
+    monkeypatch.setattr(gs, "cut_lineage", lambda df: seen.append(df) or real(df))
+    ents = spark.createDataFrame([("u", f"n{i}", f"N{i}", "T", "d") for i in range(5)], "user_id string, name_lower string, name string, type string, description string")
+    rows = [("u", "n0", f"n{i}", r) for i in range(1, 4) for r in ("q", "p")]
+    edges = spark.createDataFrame(rows, "user_id string, source_lower string, target_lower string, relation string")
+    got = {r["name_lower"]: [(x["other"], x["distance"], x["relation_chain"]) for x in r["relations"]] for r in gs.entity_facts(ents, ents, edges, 2).collect()}
+    assert got["n1"] == [("N0", 1, ["p"]), ("N2", 2, ["p", "p"]), ("N3", 2, ["p", "p"])]
+    assert [x[0] for x in got["n0"]] == ["N1", "N2", "N3"] and got["n4"] == []
+    assert len(seen) == 3

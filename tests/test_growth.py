@@ -113,3 +113,11 @@ def test_facts_of_two_hops_store_three_tables(spark, monkeypatch):
     assert got["n1"] == [("N0", 1, ["p"]), ("N2", 2, ["p", "p"]), ("N3", 2, ["p", "p"])]
     assert [x[0] for x in got["n0"]] == ["N1", "N2", "N3"] and got["n4"] == []
     assert len(seen) == 3
+
+
+def test_answer_facts_are_not_numbered_by_user(spark):
+    from loreweave.plans import catalogue  # noqa: F401 (tables first)
+    from loreweave.plans.graph_plans import _answer_facts
+
+    facts = _answer_facts(tb.Tables(spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan_of(facts)

@@ -103,6 +103,17 @@ def test_snippets_are_not_stored_with_the_replies_of_pairs(spark, monkeypatch):
     assert seen == [["user_id", "document_id", "rank", "name_a", "name_b", "raw"]]
 
 
+def test_names_are_looked_up_by_a_run_and_not_listed_beside_a_text(spark):
+    names = ["Cosine", "Cosine Distance", "cosine", "İst", "a b"]
+    ents = spark.createDataFrame([("u", str(i), n, i) for i, n in enumerate(names)], "user_id string, name_lower string, name string, last_seen_at int")
+    long = "x" * 250 + "cosine distance" + "y" * 900 + "a b"
+    texts = spark.createDataFrame([(1, "u", long), (2, "u", "ab"), (3, "u", "i̇st i̇st"), (4, "v", "cosine")], "query_id int, user_id string, haystack string")
+    out = gx.match_entities(texts, ents)
+    # Newest first among equals: "cosine" is newer than "Cosine".
+    assert sorted((r["query_id"], r["pos"], r["name"]) for r in out.collect()) == [(1, 0, "Cosine Distance"), (1, 1, "cosine"), (1, 2, "a b"), (3, 0, "İst")]
+    assert "lambda" not in plan_of(out)
+
+
 def test_facts_of_two_hops_store_three_tables(spark, monkeypatch):
     seen, real = [], gs.cut_lineage
     monkeypatch.setattr(gs, "cut_lineage", lambda df: seen.append(df) or real(df))

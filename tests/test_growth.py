@@ -132,3 +132,19 @@ def test_answer_facts_are_not_numbered_by_user(spark):
 
     facts = _answer_facts(tb.Tables(spark, "/root/testdata/sf0.001"))
     assert "Window" not in plan_of(facts)
+
+
+def test_verifier_puts_together_only_facts_that_can_show(spark):
+    from loreweave.operators import answers as an
+
+    facts = spark.range(6000).select(  # pmod: a query id that is no constant
+        F.pmod("id", F.lit(1)).alias("query_id"), F.lit("").alias("name"), F.lit("").alias("type"), F.lit("").alias("description"),
+        F.array().cast("array<struct<relation_chain:array<string>,other:string>>").alias("relations"), F.format_string("%05d", 5999 - F.col("id")).alias("rank"),
+    )
+    answers = spark.createDataFrame([(0, "a")], "query_id int, answer string")
+    chunks = spark.createDataFrame([], "query_id int, rank int, text string")
+    web = spark.createDataFrame([], "query_id int, rank int, title string, url string, content string")
+    out = an.verifier_context(answers, chunks, facts, web)
+    told = "\n".join(["-  ()"] * 6000)[:4000] + "…"
+    assert f"Knowledge-graph facts:\n{told}\n\nWeb results:" in out.first()["message"]
+    assert "WindowGroupLimit" in plan_of(out)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import contextlib
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -27,9 +28,10 @@ from loreweave.llm.common import by_bytes
 
 MARK = "▁"
 NEVER = float("-inf")
-INNER, NONE = -1, -2  # not a piece but the ending of one; no piece ends so
+INNER, START = -1, -2  # not a piece but the ending of one; what stands left of a word
 MAX_KEY = 40  # characters of a word that is kept in the cache
 CACHE = 300_000  # words in a worker's cache
+PAIRS = 300_000  # pairs of pieces that are kept when the words are dropped
 
 _worker: dict[str, Codec] = {}
 
@@ -62,7 +64,7 @@ class Codec:
         alone = "" if any("\n" in p and len(p) > 1 for p in self.ids) else "\n"
         self.split = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + ("|\n" if alone else ""))
         self.merges: dict[int, tuple[list[float], list[str], list[str]]] = {}
-        self.step: dict[int, dict[int, bool]] = {}
+        self.step: defaultdict[int, dict[int, bool]] = defaultdict(dict)
         self.odd: dict[str, int] = {}  # characters without a piece get numbers after the vocabulary
         self.odd_names: list[str] = []
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -108,6 +110,8 @@ class Codec:
         """Whether two neighbours stay apart: at no time is a merge across their border the best of the three."""
         if not self._first(piece):
             return False
+        if left == START:
+            return True
         (ranks_a, _, rights), (ranks_b, lefts, _) = self._merges(left), self._merges(piece)
         i = j = 0
         while True:
@@ -129,9 +133,9 @@ class Codec:
 
     def forward(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Ids of each of the sorted words."""
-        endings, step = self.endings, self.step
+        ending, step, pieces = self.endings.get, self.step, len(self.names)
         before = ""
-        last: list[int] = [0]  # piece that ends at each position of the current prefix, and where it starts
+        last: list[int] = [START]  # piece that ends at each position of the current prefix, and where it starts
         start: list[int] = [0]
         for word in words:
             keep, most = 0, min(len(before), len(word))
@@ -139,38 +143,32 @@ class Codec:
                 keep += 1
             del last[keep + 1 :], start[keep + 1 :]
             for end in range(keep + 1, len(word) + 1):
-                begin = end
+                begin = end - 1
+                piece = ending(word[begin])
+                if piece is None or piece < 0:
+                    piece = self._number(word[begin])
                 while True:
-                    begin -= 1
-                    piece = endings.get(word[begin:end])
-                    if piece is None:  # no piece ends like this, nor with anything longer
-                        piece = NONE
-                    if piece < 0 and end - begin == 1:
-                        piece = self._number(word[begin:end])
                     if piece >= 0:
-                        if begin:
-                            left = last[begin]
-                            known = step.get(left)
-                            if known is None:
-                                known = step[left] = {}
-                            fits = known.get(piece)
-                            if fits is None:
-                                fits = known[piece] = self._fits(left, piece)
-                        else:
-                            fits = self._first(piece)
+                        known = step[last[begin]]
+                        fits = known.get(piece)
+                        if fits is None:
+                            fits = known[piece] = self._fits(last[begin], piece)
                         if fits:
                             last.append(piece)
                             start.append(begin)
                             break
-                    if piece == NONE or not begin:
+                    begin -= 1
+                    piece = ending(word[begin:end]) if begin >= 0 else None
+                    if piece is None:  # no piece ends like this, nor with anything longer
                         raise AssertionError(f"no piece ends at {end} of {word!r}")
             out: list[int] = []
             at = len(word)
             while at:
                 out.append(last[at])
                 at = start[at]
+            out.reverse()
             before = word
-            yield word, tuple(chain.from_iterable(map(self._ids, reversed(out))))
+            yield word, tuple(out) if max(out, default=0) < pieces else tuple(chain.from_iterable(map(self._ids, out)))
 
     def forget(self) -> None:
         """Empty the caches, so that an idle worker holds the vocabulary only."""
@@ -184,10 +182,13 @@ class Codec:
     def encode(self, texts: list[list[str]]) -> list[list[int]]:
         """Ids of texts given as lists of words."""
         cache = self.cache
-        new = {w for w in set(chain.from_iterable(texts)) if w not in cache}
-        if len(cache) + len(new) > CACHE:
-            self.forget()
-            new = set(chain.from_iterable(texts))
+        used = set(chain.from_iterable(texts))
+        new = used.difference(cache)
+        if len(cache) + len(new) > CACHE:  # what this group uses stays
+            cache = self.cache = {w: cache[w] for w in used.difference(new)}
+            if sum(map(len, self.step.values())) > PAIRS:
+                self.step.clear()
+                self.merges.clear()
         cache.update(self.forward(sorted(new)))
         out = [list(chain.from_iterable(map(cache.__getitem__, t))) for t in texts]
         for w in new:

@@ -264,3 +264,14 @@ def test_toxicity_cases(spark, docs):
     assert toxicity.keep_clean(df, model).count() == 30
     none = toxicity.fit(df, labels.filter("toxic = 0"))
     assert toxicity.score(df, none).agg(F.max("score")).first()[0] == 0 and toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_codec_keeps_words_in_use_when_its_cache_is_full(monkeypatch):
+    coder = sentencepiece_codec.Codec(PIECES)
+    made, real = [], coder.forward
+    monkeypatch.setattr(coder, "forward", lambda words: real([made.append(w) or w for w in words]))
+    monkeypatch.setattr(sentencepiece_codec, "CACHE", 4)
+    groups = ["one two three", "one two four five", "one two six seven"]
+    found = [coder.encode([coder.words(g)])[0] for g in groups]
+    assert found == [sentencepiece_codec.Codec(PIECES).encode([coder.words(g)])[0] for g in groups]
+    assert sorted(made) == sorted("▁" + w for w in "one two three four five six seven".split())

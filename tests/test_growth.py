@@ -148,3 +148,44 @@ def test_verifier_puts_together_only_facts_that_can_show(spark):
     told = "\n".join(["-  ()"] * 6000)[:4000] + "…"
     assert f"Knowledge-graph facts:\n{told}\n\nWeb results:" in out.first()["message"]
     assert "WindowGroupLimit" in plan_of(out)
+
+
+def test_a_stored_table_leaves_no_shuffle_behind(spark):
+    import time
+    from pathlib import Path
+
+    from loreweave.session import cut_lineage
+
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in dirs for f in Path(str(d)).rglob("shuffle_*")}
+    before = files()
+    kept = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(7).withColumnRenamed("id", "k").hint("merge"), "k"))
+    deadline = time.time() + 20
+    while time.time() < deadline and files() - before:
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.count() == 7
+
+
+def test_pairs_are_not_shuffled(spark):
+    from itertools import combinations
+
+    from loreweave.operators import extraction as ex
+
+    said = {0: ["b", "a"], 1: ["c"], 3: ["A", "d"], 6: ["e"], 9: ["f"], 11: ["a"]}
+    rows = [("u", "d", c, [(i, n, "T", "") for i, n in enumerate(ns)], [(0, "A ", "c", "r")] if c == 1 else []) for c, ns in said.items()]
+    results = spark.createDataFrame(rows, f"user_id string, document_id string, chunk_index int, entities array<{ex.ENTITY}>, relationships array<{ex.RELATION}>")
+    pairs = ex._open_pairs(ex.mentions(results), ex.relation_rows(results), 40, "name")
+    places = {}
+    for c, ns in said.items():
+        for n in ns:
+            places.setdefault(n.lower(), []).append(c)
+    score = lambda x, y: sum({0: 3, 1: 2, 2: 1, 3: 1}.get(abs(i - j), 0) for i in places[x] for j in places[y])
+    want = {(x, y): score(x, y) for x, y in combinations(sorted(places), 2) if score(x, y) and (x, y) != ("a", "c")}
+    got = pairs.collect()
+    assert {(r["a"], r["b"]): r["score"] for r in got} == want
+    assert [(r["rank"], r["score"]) for r in got] == [(i + 1, s) for i, s in enumerate(sorted(want.values(), reverse=True))]
+    assert {n for r in got for n in (r["name_a"], r["name_b"])} == {"a", "b", "c", "d", "e", "f"}  # the first spelling
+    # Mentions and relations are shuffled, each once and by document; pairs are not.
+    ran = plan_of(pairs, "executedPlan").split("== Initial Plan ==")[0]
+    assert ran.count("Exchange hashpartitioning(user_id") == ran.count("Exchange") == 2

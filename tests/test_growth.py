@@ -189,3 +189,17 @@ def test_pairs_are_not_shuffled(spark):
     # Mentions and relations are shuffled, each once and by document; pairs are not.
     ran = plan_of(pairs, "executedPlan").split("== Initial Plan ==")[0]
     assert ran.count("Exchange hashpartitioning(user_id") == ran.count("Exchange") == 2
+
+
+def test_what_a_deletion_leaves_is_stored(spark):
+    ents = spark.createDataFrame([("u", n) for n in "abcd"], "user_id string, name_lower string")
+    docs = spark.createDataFrame([("u", "a", "1"), ("u", "b", "1"), ("u", "b", "2"), ("u", "c", "2")], "user_id string, name_lower string, document_id string")
+    keys = "user_id string, source_lower string, target_lower string, relation string"
+    edges = spark.createDataFrame([("u", "a", "b", "r"), ("u", "b", "c", "r"), ("u", "c", "d", "r")], keys)
+    edge_docs = edges.filter("source_lower <> 'c'").withColumn("document_id", F.when(F.col("source_lower") == "a", "1").otherwise("2"))
+    nodes, node_docs, links, link_docs = gs.delete_document(spark.createDataFrame([("u", "1")], "user_id string, document_id string"), ents, docs, edges, edge_docs)
+    # A node or an edge that no document was ever known for stays.
+    assert sorted(r["name_lower"] for r in nodes.collect()) == ["b", "c", "d"]
+    assert sorted(r["name_lower"] for r in node_docs.collect()) == ["b", "c"]
+    assert sorted(r["source_lower"] for r in links.collect()) == ["b", "c"] and [r["source_lower"] for r in link_docs.collect()] == ["b"]
+    assert "LogicalRDD" not in plan_of(link_docs) and "LogicalRDD" not in plan_of(links)

@@ -220,3 +220,21 @@ def test_lexical_search_keeps_postings_of_the_asked_terms_only(spark):
     found = rt.sparse_top_k(asked, index, 7)
     assert rows(found) == rows(rt.sparse_top_k(asked, index, 7, inverted=iv.build_inverted(index))) and found.count() == 14
     assert "MapInArrow" not in plan_of(found)  # scores are stored, and the shuffles before them gone
+
+
+def test_names_of_requests_are_shuffled_by_node_once(spark):
+    import re
+
+    req = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (2, "u", "b")], "query_id int, user_id string, document_id string")
+    docs = spark.createDataFrame([("u", "x", "a"), ("u", "x", "b"), ("u", "y", "b"), ("u", "z", "c")], "user_id string, name_lower string, document_id string")
+    ents = spark.createDataFrame([("u", n, n.upper(), i) for i, n in enumerate("xyz")], "user_id string, name_lower string, name string, last_seen_at int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for store in (False, True):
+            out = gs.entities_of_documents(req, ents, docs, 5, store)
+            assert sorted((r["query_id"], r["rank"], r["name"]) for r in out.collect()) == [(1, 1, "Y"), (1, 2, "X"), (2, 1, "Y"), (2, 2, "X")]
+            ran = plan_of(out, "executedPlan")
+            assert not re.search(r"hashpartitioning\(query_id#\d+, user_id#\d+, name_lower", ran)
+        assert plan_of(out).count("LogicalRDD") == 1  # the nodes; what tells the names is stored
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

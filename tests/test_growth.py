@@ -238,3 +238,33 @@ def test_names_of_requests_are_shuffled_by_node_once(spark):
         assert plan_of(out).count("LogicalRDD") == 1  # the nodes; what tells the names is stored
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_facts_that_cannot_show_are_not_looked_up(spark):
+    from loreweave.plans import catalogue  # noqa: F401 (tables first)
+    from loreweave.plans.graph_plans import _answer_facts
+
+    t = tb.Tables(spark, "/root/testdata/sf0.001")
+    whole = {(r["query_id"], r["rank"]): r["relations"] for r in _answer_facts(t).collect()}
+    first = {(r["query_id"], r["rank"]): r["relations"] for r in _answer_facts(t, 3).collect()}
+    users = {u for u, _ in whole}
+    want = {(u, k) for u in users for k in sorted(k for v, k in whole if v == u)[:3]}
+    assert set(first) == want and all(first[k] == whole[k] for k in want)
+
+
+def test_replies_are_read_without_variants_and_alike(spark):
+    from loreweave.functions.jsonrec import recover_json
+    from loreweave.operators import extraction as ex
+
+    item = '{"name":"A","type":"T","description":"d"}'
+    odd = [
+        f'{{"entities":[{item},5,{{"name":"b"}},{{"name":""}},{{"name":"c","type":null}},{{"name":"d","type":7}},null]}}', f'x {{"entities":[{item}]}} y }}', "no", None, "", "{}", "null",
+        f'```JSON\n{{"entities":[{item}]}}\n``` {{', f'[{{"entities":[{item}]}}]', f'{{"entities":[{item}],"entities":[]}}', f'{{"entities":[{{"name":"a:b","name":"c"}}]}}', '{"entities":[{"name":"a:b"}]}',
+        f'{{"entities":[{item}]', '{"entities":[{"name":"\\ud800"}]}', '{"entities":[{"name":"x","n":NaN}]}', '{"entities":{"name":"x"}}', '{"entities":null}', f'﻿{{"entities":[{item}]}}', f'{{"entities":[{item}]}} {{',
+        '{"entities":[{"name":"' + "n" * 200 + '"},{"name":"' + "n" * 201 + '"}]}', '{"a {"entities":[{"name":"x"}]}', '{"x":{"y":1,"y":2},"entities":[{"name":"x"}]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, raw string")
+    want = {r["i"]: r["e"] for r in recover_json(df, "raw").select("i", ex.parse_entities(F.col("obj")).alias("e")).collect()}
+    assert {r["i"]: r["e"] for r in df.select("i", ex.read_entities("raw").alias("e")).collect()} == want and sum(map(bool, want.values())) > 7
+    replies = spark.createDataFrame([], "user_id string, document_id string, chunk_index int, pass1_raw string, pass1_failed boolean, pass2_raw string, pass2_failed boolean")
+    assert "variant" not in plan_of(ex.chunk_results(replies)) and "parse_json" not in plan_of(ex.chunk_results(replies))
